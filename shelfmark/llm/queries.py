@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.timestamps import published_instants
 from shelfmark.llm.distinctive import distinctive_terms
+from shelfmark.llm.encoding import encode_documents
+from shelfmark.llm.frequency import count_values, marked_values
 from shelfmark.llm.leaks import leaked_items
 from shelfmark.llm.lines import excessive_lines
+from shelfmark.llm.neardup import similar_pairs
 
+TOKENIZERS = os.environ.get("SHELFMARK_TOKENIZERS", "/opt/tokenizers")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -42,6 +48,32 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return excessive_lines(docs, "doc_id", "source", "body", dates=dates)
 
 
+def _offered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, forms) of each query with at least one correction: the offered forms in lower case."""
+    forms = F.transform(F.flatten(F.filter(F.map_values("corrections"), lambda v: v.isNotNull())), F.lower)
+    rows = table(spark, sf_dir, "query_vectors").select("query_id", F.filter(forms, lambda f: f.isNotNull()).alias("forms"))
+    return rows.where("size(forms) > 0").groupBy("query_id").agg(F.min("forms").alias("forms"))
+
+
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = table(spark, sf_dir, "documents").select("body").where("body IS NOT NULL")
+    offered = _offered(spark, sf_dir)
+    body = marked_values(count_values(F.col("body"), bodies), bodies.count(), common_share=0.3).withColumn("field", F.lit("body"))
+    forms = marked_values(count_values(F.col("forms"), offered), offered.count(), common_share=0.01).withColumn("field", F.lit("corrections"))
+    return body.unionByName(forms).where("mark IS NOT NULL").select("field", "term", "mark")
+
+
+@query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"], width=3, threshold=0.6)
+
+
+@query()
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 @query()
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", run=10)
