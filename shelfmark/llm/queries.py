@@ -13,6 +13,7 @@ from shelfmark.llm.encoding import encode_documents
 from shelfmark.llm.frequency import count_values, marked_values
 from shelfmark.llm.leaks import leaked_items
 from shelfmark.llm.lines import excessive_lines
+from shelfmark.llm.lookalikes import rewritten
 from shelfmark.llm.neardup import similar_pairs
 
 TOKENIZERS = os.environ.get("SHELFMARK_TOKENIZERS", "/opt/tokenizers")
@@ -48,6 +49,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return excessive_lines(docs, "doc_id", "source", "body", dates=dates)
 
 
+@query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewritten(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"]).where("size(kinds) > 0").select("doc_id", "field")
+
+
 def _offered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, forms) of each query with at least one correction: the offered forms in lower case."""
     forms = F.transform(F.flatten(F.filter(F.map_values("corrections"), lambda v: v.isNotNull())), F.lower)
