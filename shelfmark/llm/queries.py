@@ -15,6 +15,7 @@ from shelfmark.llm.leaks import leaked_items
 from shelfmark.llm.lines import excessive_lines
 from shelfmark.llm.lookalikes import rewritten
 from shelfmark.llm.neardup import similar_pairs
+from shelfmark.llm.quality import text_quality
 
 TOKENIZERS = os.environ.get("SHELFMARK_TOKENIZERS", "/opt/tokenizers")
 QUERIES: dict = {}
@@ -84,3 +85,9 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", run=10)
     return found.where("run >= 10").select("doc_id", "item_id")
+
+
+@query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", "title")
+    return judged.where("kind <> 'prose'").select("doc_id", "kind")
