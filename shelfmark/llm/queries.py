@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.timestamps import published_instants
+from shelfmark.llm.boilerplate import furniture
 from shelfmark.llm.distinctive import distinctive_terms
 from shelfmark.llm.encoding import encode_documents
 from shelfmark.llm.frequency import count_values, marked_values
@@ -71,6 +72,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.unionByName(forms).where("mark IS NOT NULL").select("field", "term", "mark")
 
 
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture(table(spark, sf_dir, "documents"), "doc_id", "source", "title", "body")
+
+
 @query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"], width=3, threshold=0.6)
