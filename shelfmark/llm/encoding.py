@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"(?U)'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 96  # bytes; the fold takes time by the square of a word's length, so longer words are merged in Python
 NONE = 1 << 30
 
@@ -51,6 +51,13 @@ def _merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p, on in zip(parts, alive) if on]
 
 
+def _valid(piece: bytes) -> bool:
+    try:
+        return bool(piece.decode("utf-8"))
+    except UnicodeDecodeError:
+        return False
+
+
 def _bytes(word: Column) -> Column:
     """A string whose code points are the bytes of ``word``."""
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
@@ -61,14 +68,20 @@ class ByteBpe:
 
     def __init__(self, spark, path: str, buckets: int = 8192):
         self.path, self.ranks = path, read_ranks(path)
-        words = [p.decode("latin-1") for p in self.ranks]
-        hashes = spark.createDataFrame([(json.dumps(words),)], "j string").select(F.from_json("j", "array<string>").alias("w"))
         self.buckets = buckets
-        home = hashes.select(F.transform("w", self._bucket)).first()[0]  # the vocabulary's size, which is fixed
-        maps: list[dict[str, int]] = [{} for _ in range(buckets)]
-        for word, at, rank in zip(words, home, self.ranks.values()):
-            maps[at][word] = rank
-        self.map = F.from_json(F.lit(json.dumps(maps)), F.lit("array<map<string,int>>"))
+        self.map = self._literal(spark, {p.decode("latin-1"): r for p, r in self.ranks.items()}, "int")
+        # whole words, which are looked up most, as they stand in texts, each with its list of one id
+        texts = {p: r for p, r in self.ranks.items() if _valid(p)}
+        self.words = self._literal(spark, {p.decode("utf-8"): [r] for p, r in texts.items()}, "array<int>")
+
+    def _literal(self, spark, values: dict, kind: str) -> Column:
+        """A constant array of small maps, in which the hash of a key names the map."""
+        keys = spark.createDataFrame([(json.dumps(list(values)),)], "j string").select(F.from_json("j", "array<string>").alias("w"))
+        home = keys.select(F.transform("w", self._bucket)).first()[0]  # the vocabulary's size, which is fixed
+        maps: list[dict] = [{} for _ in range(self.buckets)]
+        for (key, value), at in zip(values.items(), home):
+            maps[at][key] = value
+        return F.from_json(F.lit(json.dumps(maps)), F.lit(f"array<map<string,{kind}>>"))
 
     def _bucket(self, word: Column) -> Column:
         return F.pmod(F.xxhash64(word), F.lit(self.buckets)).cast("int")
@@ -76,6 +89,10 @@ class ByteBpe:
     def rank(self, word: Column) -> Column:
         return F.try_element_at(F.get(self.map, self._bucket(word)), word)
 
+    def whole(self, word: Column) -> Column:
+        """The list of a word's id if it is a piece of the vocabulary, else null."""
+        return F.try_element_at(F.get(self.words, self._bucket(word)), word)
+
     def fold(self, word: Column) -> Column:
         """The ids of a word's bytes: as many steps as it may take, each of which merges the first pair of the lowest rank."""
         parts = F.filter(F.split(word, ""), lambda c: c != "")
@@ -101,10 +118,10 @@ class ByteBpe:
         document, to their encoding and back to the document, so what moves is
         short words with short lists, and each text once.
         """
-        path, ranks = self.path, self.rank
+        path = self.path
         words = F.regexp_extract_all(F.col("__text"), F.lit(PATTERN), F.lit(0))
         texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-        other = F.array_distinct(F.filter(F.transform(words, _bytes), lambda w: ranks(w).isNull()))
+        other = F.array_distinct(F.filter(words, lambda w: self.whole(w).isNull()))
         pairs = texts.where(F.length("__text") > 0).select("__key", F.explode(other).alias("word"))
         distinct = pairs.select("word").distinct()
 
@@ -112,13 +129,13 @@ class ByteBpe:
             known = read_ranks(path)
             for batch in batches:
                 column = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(w.encode("latin-1"), known) for w in column], pa.list_(pa.int32()))], names=["word", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(w.encode("utf-8"), known) for w in column], pa.list_(pa.int32()))], names=["word", "ids"])
 
-        short = distinct.where(F.length("word") <= LONG).select("word", self.fold(F.col("word")).alias("ids"))
-        encoded = short.unionByName(distinct.where(F.length("word") > LONG).mapInArrow(long, "word string, ids array<int>"))
+        short = distinct.where(F.octet_length("word") <= LONG).select("word", self.fold(_bytes(F.col("word"))).alias("ids"))
+        encoded = short.unionByName(distinct.where(F.octet_length("word") > LONG).mapInArrow(long, "word string, ids array<int>"))
         own = pairs.join(encoded, "word").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__own"))
         rows = texts.join(own, "__key", "left")
-        ids = F.flatten(F.transform(F.transform(words, _bytes), lambda w: F.element_at(F.transform(F.array(ranks(w)), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.try_element_at(F.col("__own"), w))), 1)))
+        ids = F.flatten(F.transform(words, lambda w: F.coalesce(self.whole(w), F.try_element_at(F.col("__own"), w))))
         return rows.select(F.col("__key").alias(key), F.when(F.length("__text") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
 
     def decode(self, ids: Column) -> Column:
