@@ -50,17 +50,17 @@ def array_of(value: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda p: p != "")))
 
 
-@F.pandas_udf("string")
-def _compact(values: pd.Series) -> pd.Series:
-    def one(v):
+def canonical_json(value: Column) -> Column:
+    """JSON text without needless space, keys in their order; null for what is no JSON."""
+
+    def one(text):
         try:
-            return json.dumps(json.loads(v), ensure_ascii=False, separators=(",", ":")) if isinstance(v, str) else None
+            return json.dumps(json.loads(text), ensure_ascii=False, separators=(",", ":")) if isinstance(text, str) else None
         except ValueError:
             return None
 
-    return values.map(one)
+    @F.pandas_udf("string")
+    def compact(values: pd.Series) -> pd.Series:
+        return values.map(one)
 
-
-def canonical_json(value: Column) -> Column:
-    """JSON text without needless space, keys in their order; null for what is no JSON."""
-    return _compact(value)
+    return compact(value)

@@ -6,24 +6,26 @@ import re
 import unicodedata as ud
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
-COMPOSING = r"[̀-゙゚ͯ]"
+COMPOSING = r"[\u0300-\u036f\u3099\u309a]"
 
 
 @lru_cache(maxsize=1)
 def fold_map() -> tuple[str, str]:
-    """Lower-case Latin letters with diacritics, and the plain letters they fold to."""
+    """Lower-case Latin letters with diacritics and second forms of letters, and the letters they fold to."""
     odd, plain = [], []
-    for code in range(0xC0, 0x1F00):
+    for code in range(0xC0, 0x1FFF):
         char = chr(code)
         parts = ud.normalize("NFD", char)
         if len(parts) > 1 and "a" <= parts[0] <= "z" and all(ud.combining(p) for p in parts[1:]):
             odd.append(char)
             plain.append(parts[0])
+        elif char == char.lower() != (same := char.casefold()) and len(same) == 1:
+            odd.append(char)  # another form of the same letter, as the final sigma
+            plain.append(same)
     return "".join(odd), "".join(plain)
 
 
@@ -75,8 +77,3 @@ def word_spans(text: str) -> list[tuple[str, int, int]]:
     flat = "".join(kept)
     ends = [*at[1:], len(text)]
     return [(m[0], at[m.start()], ends[m.end() - 1]) for m in _TOKEN.finditer(flat)]
-
-
-@F.pandas_udf("string")
-def compose_text(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: ud.normalize("NFC", x) if isinstance(x, str) else None)

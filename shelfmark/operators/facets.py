@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.filters import Fields, conditions, together
@@ -21,6 +21,10 @@ def wanted_facets(fields: Fields, asked: bool | list[str]) -> list[str]:
     return names
 
 
+def _tagged(values: Column, place: int, name: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(place).alias("ord"), F.lit(name).alias("facet"), v.alias("value")))
+
+
 def facet_counts(rows: DataFrame, fields: Fields, asked: bool | list[str], filters: Mapping | None = None) -> DataFrame:
     """(ord, facet, value, n): counts of each value of the asked facets over ``rows``.
 
@@ -37,7 +41,7 @@ def facet_counts(rows: DataFrame, fields: Fields, asked: bool | list[str], filte
     for k, name in enumerate(names):
         shown = F.col(name).cast("int").cast("string") if fields[name].type == "boolean" else F.col(name).cast("string")
         values = F.transform(F.array_distinct(F.col(name)), lambda v: v.cast("string")) if fields[name].type == "string_array" else F.array(shown)
-        pairs = F.transform(values, lambda v, k=k, name=name: F.struct(F.lit(k).alias("ord"), F.lit(name).alias("facet"), v.alias("value")))
+        pairs = _tagged(values, k, name)
         lists.append(F.when(together(parts, but=name), pairs).otherwise(F.array().cast("array<struct<ord:int,facet:string,value:string>>")))
     if not lists:
         return rows.sparkSession.createDataFrame([], "ord int, facet string, value string, n long")

@@ -96,7 +96,7 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
     vocabulary_of(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     if variants is not None:
         variants.write.mode("overwrite").parquet(f"{path}/variants")
-    spark.createDataFrame([(json.dumps({"version": VERSION, "columns": columns, "positions": positions, "variants": variants is not None}, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    spark.createDataFrame([(json.dumps({"version": VERSION, "columns": list(columns.items()), "positions": positions, "variants": variants is not None}, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return open_index(spark, path)
 
 
@@ -109,7 +109,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
     postings = table("postings")
     if not manifest["positions"]:
         postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))
-    return Index(table("documents"), postings, table("lengths"), table("vocabulary"), manifest["columns"], manifest["positions"], table("variants") if manifest["variants"] else None)
+    return Index(table("documents"), postings, table("lengths"), table("vocabulary"), dict(manifest["columns"]), manifest["positions"], table("variants") if manifest["variants"] else None)
 
 
 def size_of(path: str) -> int:

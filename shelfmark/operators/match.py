@@ -144,7 +144,7 @@ class Matcher:
         """Where the leaf begins."""
         first, *rest = [self._own(a, leaf) for a in leaf.atoms]
         for k, places in enumerate(rest, 1):
-            first = F.array_intersect(first, F.transform(places, lambda p, k=k: p - k))
+            first = F.array_intersect(first, _back(places, k))
         return first
 
     def _clumps(self, close: Close) -> list[Column]:
@@ -153,7 +153,11 @@ class Matcher:
         reach = lambda name, size, m: F.exists(F.col(name), lambda s: (s <= m) & (s >= m - size - close.distance) & (F.floor(s / COLUMN) == F.floor(m / COLUMN)))
         everywhere = F.array_distinct(F.concat(*[F.col(n) for n, _ in each]))
         heads = F.filter(everywhere, lambda m: _all([reach(n, size, m) for n, size in each]))
-        return [F.filter(F.col(n), lambda s, size=size: F.exists(heads, lambda m: (s <= m) & (s >= m - size - close.distance) & (F.floor(s / COLUMN) == F.floor(m / COLUMN)))) for n, size in each]
+
+        def taking_part(name: str, size: int) -> Column:
+            return F.filter(F.col(name), lambda s: F.exists(heads, lambda m: (s <= m) & (s >= m - size - close.distance) & (F.floor(s / COLUMN) == F.floor(m / COLUMN))))
+
+        return [taking_part(n, size) for n, size in each]
 
     def _name(self, leaf: Leaf) -> int:
         return self.leaves.index(leaf)
@@ -224,6 +228,10 @@ class Matcher:
         return -go(tree)[0]
 
 
+def _back(places: Column, steps: int) -> Column:
+    return F.transform(places, lambda p: p - steps)
+
+
 def _all(flags: list[Column]) -> Column:
     out = flags[0]
     for f in flags[1:]:

@@ -12,7 +12,7 @@ from shelfmark.operators.boosts import product
 from shelfmark.operators.facets import facet_counts
 from shelfmark.operators.filters import Fields, conditions, together
 from shelfmark.operators.index import Index
-from shelfmark.operators.match import Leaf, Matcher, Tree, compile_tree, idf_of
+from shelfmark.operators.match import COLUMN, Leaf, Matcher, Tree, compile_tree, idf_of
 from shelfmark.operators.widen import corrections_of, fuzzy_of, variants_of
 from shelfmark.plans.syntax import Identifier, Node, Not, Phrase, Term, leaves, parse, proximity, spellings
 
@@ -98,8 +98,6 @@ class Searcher:
 
     def _unplaced(self, matcher: Matcher, plan: Plan, rows: DataFrame):
         """Without positions: the idf of each word times the weights of the columns that hold it."""
-        from shelfmark.operators.match import COLUMN
-
         items = [i for i in dict.fromkeys(_positive(plan.wide)) if isinstance(i, Leaf)]
         total = self.index.documents.count()
         names = [f"s{matcher._name(i)}" for i in items]
@@ -108,7 +106,7 @@ class Searcher:
         for name in names:
             for k, weight in enumerate(self.index.columns.values()):
                 if weight:
-                    score = score + F.when(F.exists(F.col(name), lambda p, k=k: F.floor(p / COLUMN) == k), idf_of(total, held[name]) * float(weight)).otherwise(0.0)
+                    score = score + F.when(_in_column(name, k), idf_of(total, held[name]) * float(weight)).otherwise(0.0)
         return -score
 
     # --- answers ----------------------------------------------------------------
@@ -124,9 +122,13 @@ class Searcher:
             found = found.select("id", F.lit(0).alias("band"), F.lit(0).alias("proximity"), F.lit(0.0).alias("score"))
         return docs.join(found, "id"), plan
 
-    def total(self, request: Request) -> DataFrame:
+    def found(self, request: Request) -> DataFrame:
+        """All filtered matches in no order, with their columns."""
         rows, _ = self.rows(request)
-        return rows.where(together(conditions(self.fields, request.filters))).agg(F.count("*").alias("total"))
+        return rows.where(together(conditions(self.fields, request.filters)))
+
+    def total(self, request: Request) -> DataFrame:
+        return self.found(request).agg(F.count("*").alias("total"))
 
     def facets(self, request: Request) -> DataFrame:
         rows, _ = self.rows(request)
@@ -199,6 +201,10 @@ class Searcher:
         return list(dict.fromkeys(forms))
 
 
+def _in_column(name: str, column: int):
+    return F.exists(F.col(name), lambda p: F.floor(p / COLUMN) == column)
+
+
 def _positive(tree: Tree):
     if tree.kind in ("leaf", "close"):
         yield tree.item

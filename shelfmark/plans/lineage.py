@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: str | None = None  # where no folder is named
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        global _own
+        _own = _own or "file://" + tempfile.mkdtemp(prefix="shelfmark-")
+        named = _own
     return named.rstrip("/")
 
 
