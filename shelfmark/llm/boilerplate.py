@@ -146,7 +146,7 @@ def _name_like(line: str) -> bool:
     return 0 < len(text) <= 110 and not ENDING.search(text) and len(text.split()) <= 14 and not ENUMERATED.match(text)
 
 
-SPANS = "doc {kind}, line int, part int, key bigint, pages bigint, first boolean, name boolean"
+SPANS = "doc {kind}, line int, part int, key bigint, pages bigint, first boolean, name boolean, cut int"
 
 
 def _block_spans(key_type):
@@ -163,24 +163,26 @@ def _block_spans(key_type):
                 stream.add(page, tokens)
                 if number:
                     spans.append((at, len(tokens) + 1, page))
-                    rows.append((doc, number, 0, _key(tokens), _name_like(line)))
+                    rows.append((doc, number, 0, _key(tokens), _name_like(line), -1))
                     if _name_like(line):
                         for size in _openings(tokens, POINTERS):
                             spans.append((at, size, page))
-                            rows.append((doc, number, 1, _key(tokens[:size]), True))
+                            rows.append((doc, number, 1, _key(tokens[:size]), True, -1))
                 else:
                     # openings and ends of titles; an end is a suffix that runs into the boundary
+                    raw = [m.span() for m in TOKEN.finditer(line)]
+                    raw = raw if len(raw) == len(tokens) else None
                     for size in _openings(tokens, SEPARATORS):
                         spans.append((at, size, page))
-                        rows.append((doc, 0, 2, _key(["^", *tokens[:size]]), True))
+                        rows.append((doc, 0, 2, _key(["^", *tokens[:size]]), True, raw[size - 1][1] if raw else -1))
                     for i in range(1, len(tokens) - 1):
                         if tokens[i] in SEPARATORS and len(tokens) - i <= 12:
                             spans.append((at + i, len(tokens) - i + 1, page))
-                            rows.append((doc, 0, 3, _key([*tokens[i:], "$"]), True))
+                            rows.append((doc, 0, 3, _key([*tokens[i:], "$"]), True, raw[i][0] if raw else -1))
         pages, first = stream.pages(spans)
-        out = pd.DataFrame(rows, columns=["doc", "line", "part", "key", "name"])
+        out = pd.DataFrame(rows, columns=["doc", "line", "part", "key", "name", "cut"])
         out["pages"], out["first"] = pages, first
-        return out[["doc", "line", "part", "key", "pages", "first", "name"]]
+        return out[["doc", "line", "part", "key", "pages", "first", "name", "cut"]]
 
     return build
 
@@ -198,6 +200,27 @@ def furniture(docs: DataFrame, key: str, source: str, title: str, body: str, sha
     host's titles and mostly on this host. Lines count from 1; blank lines and
     null fields give no rows; pages without source form a host of their own.
     """
+    return _furniture(docs, key, source, title, body, share, least, spread_share, spread_hosts, title_share).select(F.col("doc").alias(key), F.col("line").cast("long").alias("line_no"))
+
+
+def main_content(docs: DataFrame, key: str, source: str, title: str, body: str, **limits) -> DataFrame:
+    """(key, title, body): every document with its own title and its own lines alone.
+
+    Site names are cut off a title where they stand as written; lines of
+    furniture go, blank lines stay. Null fields stay null.
+    """
+    defaults = {"share": 0.035, "least": 4, "spread_share": 0.004, "spread_hosts": 0.25, "title_share": 0.03}
+    found = _furniture(docs, key, source, title, body, **(defaults | limits))
+    gone = found.groupBy("doc").agg(F.collect_set(F.when(F.col("line") > 0, F.col("line"))).alias("lines"), F.max("opening").alias("opening"), F.min("ending").alias("ending"))
+    kept = F.array_join(F.filter(F.split(F.col("body"), "\n"), lambda line, i: ~F.array_contains("lines", i + 1)), "\n")
+    start, end = F.coalesce("opening", F.lit(0)), F.coalesce("ending", F.length("title"))
+    own = F.when(F.col("opening").isNull() & F.col("ending").isNull(), F.col("title")).when(end > start, F.btrim(F.substring(F.col("title"), start + 1, end - start))).otherwise(F.col("title"))
+    rows = docs.select(F.col(key).alias("__key"), F.col(title).alias("title"), F.col(body).alias("body")).join(gone, F.col("__key") == F.col("doc"), "left")
+    return rows.select(F.col("__key").alias(key), own.alias("title"), F.when(F.col("lines").isNull(), F.col("body")).otherwise(kept).alias("body"))
+
+
+def _furniture(docs: DataFrame, key: str, source: str, title: str, body: str, share: float, least: int, spread_share: float, spread_hosts: float, title_share: float) -> DataFrame:
+    """(doc, line, opening, ending): the lines of ``furniture``, for line 0 with the places where the own title begins and ends, null if unknown."""
     kind = docs.schema[key].dataType.simpleString()
     pages = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(source), F.lit("")).alias("host"), F.col(title).alias("title"), F.col(body).alias("body")).where("title IS NOT NULL OR body IS NOT NULL")
     sizes = pages.groupBy("host").agg(F.count("*").alias("size"))
@@ -215,7 +238,7 @@ def furniture(docs: DataFrame, key: str, source: str, title: str, body: str, sha
     spread = (F.col("part") == 0) & wide(spread_share, spread_hosts) | (F.col("part") == 1) & wide(spread_share / 8, spread_hosts / 5)
     own_name = (F.col("part") < 2) | (F.col("n") >= 0.5 * F.col("all"))
     boiler = written(counts.where((in_host | spread) & own_name).select("host", "part", "key"), "boilerplate")
-    titles = spans.where("part >= 2").join(boiler, ["host", "part", "key"], "left_semi").select("doc", F.lit(0).alias("line")).distinct()
+    titles = spans.where("part >= 2").join(boiler, ["host", "part", "key"], "left_semi").groupBy("doc").agg(F.lit(0).alias("line"), F.max(F.when((F.col("part") == 2) & (F.col("cut") >= 0), F.col("cut"))).alias("opening"), F.min(F.when((F.col("part") == 3) & (F.col("cut") >= 0), F.col("cut"))).alias("ending"))
     leads = spans.where("part = 1").join(boiler, ["host", "part", "key"], "left_semi").select("doc", "line").distinct().withColumn("lead", F.lit(True))
     whole = boiler.where("part = 0").select("host", "key", F.lit(True).alias("repeated"))
     lines = spans.where("part = 0").select("doc", "line", "host", "key", "name").join(whole, ["host", "key"], "left").join(leads, ["doc", "line"], "left")
@@ -230,5 +253,5 @@ def furniture(docs: DataFrame, key: str, source: str, title: str, body: str, sha
     state = F.when(F.col("known"), F.when(F.col("head"), "head").otherwise("other")).when(~F.col("name"), "other")
     before = F.last(state, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     gone = F.col("known") | F.col("lead") | (F.col("name") & (before == "head"))
-    out = states.withColumn("gone", gone).where("gone").select("doc", "line")
-    return out.unionByName(titles).select(F.col("doc").alias(key), F.col("line").cast("long").alias("line_no"))
+    out = states.withColumn("gone", gone).where("gone").select("doc", "line", F.lit(None).cast("int").alias("opening"), F.lit(None).cast("int").alias("ending"))
+    return out.unionByName(titles)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 PATTERN = r"(?U)'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 96  # bytes; the fold takes time by the square of a word's length, so longer words are merged in Python
+WIDE = 20_000  # characters; a longer text has too many other words to look each up in its own small map
 NONE = 1 << 30
 
 
@@ -116,7 +117,8 @@ class ByteBpe:
 
         Words of the vocabulary need no shuffle. The others go, once for each
         document, to their encoding and back to the document, so what moves is
-        short words with short lists, and each text once.
+        short words with short lists, and each text once. The words of very
+        long texts are brought together by their places instead.
         """
         path = self.path
         words = F.regexp_extract_all(F.col("__text"), F.lit(PATTERN), F.lit(0))
@@ -133,10 +135,17 @@ class ByteBpe:
 
         short = distinct.where(F.octet_length("word") <= LONG).select("word", self.fold(_bytes(F.col("word"))).alias("ids"))
         encoded = short.unionByName(distinct.where(F.octet_length("word") > LONG).mapInArrow(long, "word string, ids array<int>"))
-        own = pairs.join(encoded, "word").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__own"))
-        rows = texts.join(own, "__key", "left")
+        wide = F.coalesce(F.length("__text") > WIDE, F.lit(False))
+        own = texts.where((F.length("__text") > 0) & ~wide).select("__key", F.explode(other).alias("word")).join(encoded, "word").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__own"))
+        rows = texts.where(~wide).join(own, "__key", "left")
         ids = F.flatten(F.transform(words, lambda w: F.coalesce(self.whole(w), F.try_element_at(F.col("__own"), w))))
-        return rows.select(F.col("__key").alias(key), F.when(F.length("__text") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
+        short_rows = rows.select(F.col("__key").alias(key), F.when(F.length("__text") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
+        placed = texts.where(wide).select("__key", F.posexplode(words).alias("at", "word")).withColumn("known", self.whole(F.col("word")))
+        found = placed.where("known IS NULL").select("__key", "at", "word").join(encoded, "word").select("__key", "at", "ids")
+        everything = placed.where("known IS NOT NULL").select("__key", "at", F.col("known").alias("ids")).unionByName(found)
+        gathered = everything.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("all"))  # one document's words
+        long_rows = gathered.select(F.col("__key").alias(key), F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
+        return short_rows.unionByName(long_rows)
 
     def decode(self, ids: Column) -> Column:
         """The text of a list of ids: the pieces' bytes put together; null for null, and for an id outside the vocabulary."""

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.timestamps import published_instants
-from shelfmark.llm.boilerplate import furniture
+from shelfmark.llm.boilerplate import furniture, main_content
 from shelfmark.llm.distinctive import distinctive_terms
 from shelfmark.llm.encoding import encode_documents
 from shelfmark.llm.frequency import count_values, marked_values
 from shelfmark.llm.leaks import leaked_items
-from shelfmark.llm.lines import excessive_lines
+from shelfmark.llm.lines import excessive_lines, without_lines
 from shelfmark.llm.lookalikes import rewritten
-from shelfmark.llm.neardup import similar_pairs
+from shelfmark.llm.neardup import similar_groups, similar_pairs
 from shelfmark.llm.quality import text_quality
 
 TOKENIZERS = os.environ.get("SHELFMARK_TOKENIZERS", "/opt/tokenizers")
@@ -97,3 +97,42 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", "title")
     return judged.where("kind <> 'prose'").select("doc_id", "kind")
+
+
+# --- whole results beside the cases ----------------------------------------------
+
+
+@query()
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive_terms(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"])
+
+
+@query()
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "body")
+    return without_lines(docs, "doc_id", "body", excessive_lines(docs, "doc_id", "source", "body")).select("doc_id", "body")
+
+
+@query()
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewritten(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"])
+
+
+@query()
+def p6_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_content(table(spark, sf_dir, "documents"), "doc_id", "source", "title", "body")
+
+
+@query()
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"])
+
+
+@query()
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+@query()
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), "doc_id", "text", "title")
