@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import base64
 import json
+import zlib
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.plans.lineage import written
+
 PATTERN = r"(?U)'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 96  # bytes; the fold takes time by the square of a word's length, so longer words are merged in Python
 WIDE = 20_000  # characters; a longer text has too many other words to look each up in its own small map
@@ -67,25 +70,22 @@ def _bytes(word: Column) -> Column:
 class ByteBpe:
     """A byte-level vocabulary as literals of a session. ``path`` names its ``.tiktoken`` file."""
 
-    def __init__(self, spark, path: str, buckets: int = 8192):
+    def __init__(self, path: str, buckets: int = 8192):
         self.path, self.ranks = path, read_ranks(path)
         self.buckets = buckets
-        self.map = self._literal(spark, {p.decode("latin-1"): r for p, r in self.ranks.items()}, "int")
+        self.map = self._literal({p.decode("latin-1"): r for p, r in self.ranks.items()}, "int")
         # whole words, which are looked up most, as they stand in texts, each with its list of one id
-        texts = {p: r for p, r in self.ranks.items() if _valid(p)}
-        self.words = self._literal(spark, {p.decode("utf-8"): [r] for p, r in texts.items()}, "array<int>")
+        self.words = self._literal({p.decode("utf-8"): [r] for p, r in self.ranks.items() if _valid(p)}, "array<int>")
 
-    def _literal(self, spark, values: dict, kind: str) -> Column:
-        """A constant array of small maps, in which the hash of a key names the map."""
-        keys = spark.createDataFrame([(json.dumps(list(values)),)], "j string").select(F.from_json("j", "array<string>").alias("w"))
-        home = keys.select(F.transform("w", self._bucket)).first()[0]  # the vocabulary's size, which is fixed
+    def _literal(self, values: dict, kind: str) -> Column:
+        """A constant array of small maps, in which the checksum of a key names the map."""
         maps: list[dict] = [{} for _ in range(self.buckets)]
-        for (key, value), at in zip(values.items(), home):
-            maps[at][key] = value
-        return F.from_json(F.lit(json.dumps(maps)), F.lit(f"array<map<string,{kind}>>"))
+        for key, value in values.items():
+            maps[zlib.crc32(key.encode()) % self.buckets][key] = value
+        return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False, separators=(",", ":"))), F.lit(f"array<map<string,{kind}>>"))
 
     def _bucket(self, word: Column) -> Column:
-        return F.pmod(F.xxhash64(word), F.lit(self.buckets)).cast("int")
+        return (F.crc32(word) % self.buckets).cast("int")
 
     def rank(self, word: Column) -> Column:
         return F.try_element_at(F.get(self.map, self._bucket(word)), word)
@@ -124,7 +124,9 @@ class ByteBpe:
         words = F.regexp_extract_all(F.col("__text"), F.lit(PATTERN), F.lit(0))
         texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
         other = F.array_distinct(F.filter(words, lambda w: self.whole(w).isNull()))
-        pairs = texts.where(F.length("__text") > 0).select("__key", F.explode(other).alias("word"))
+        held = texts.where(F.length("__text") > 0)
+        # Each step is a written table: no word is cut or merged twice, and each plan holds the literal once.
+        pairs = written(held.select("__key", F.explode(other).alias("word")), "words")
         distinct = pairs.select("word").distinct()
 
         def long(batches):
@@ -134,18 +136,22 @@ class ByteBpe:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(w.encode("utf-8"), known) for w in column], pa.list_(pa.int32()))], names=["word", "ids"])
 
         short = distinct.where(F.octet_length("word") <= LONG).select("word", self.fold(_bytes(F.col("word"))).alias("ids"))
-        encoded = short.unionByName(distinct.where(F.octet_length("word") > LONG).mapInArrow(long, "word string, ids array<int>"))
+        encoded = written(short.unionByName(distinct.where(F.octet_length("word") > LONG).mapInArrow(long, "word string, ids array<int>")), "encoded")
         wide = F.coalesce(F.length("__text") > WIDE, F.lit(False))
-        own = texts.where((F.length("__text") > 0) & ~wide).select("__key", F.explode(other).alias("word")).join(encoded, "word").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__own"))
-        rows = texts.where(~wide).join(own, "__key", "left")
+        wide_texts = texts.where(wide)
+        some_wide = not wide_texts.isEmpty()
+        near = pairs.join(wide_texts.select("__key"), "__key", "left_anti") if some_wide else pairs
+        own = near.join(encoded, "word").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__own"))
+        rows = (texts.where(~wide) if some_wide else texts).join(own, "__key", "left")
         ids = F.flatten(F.transform(words, lambda w: F.coalesce(self.whole(w), F.try_element_at(F.col("__own"), w))))
         short_rows = rows.select(F.col("__key").alias(key), F.when(F.length("__text") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
-        placed = texts.where(wide).select("__key", F.posexplode(words).alias("at", "word")).withColumn("known", self.whole(F.col("word")))
+        if not some_wide:
+            return short_rows
+        placed = written(wide_texts.select("__key", F.posexplode(words).alias("at", "word")).withColumn("known", self.whole(F.col("word"))), "placed")
         found = placed.where("known IS NULL").select("__key", "at", "word").join(encoded, "word").select("__key", "at", "ids")
         everything = placed.where("known IS NOT NULL").select("__key", "at", F.col("known").alias("ids")).unionByName(found)
         gathered = everything.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("all"))  # one document's words
-        long_rows = gathered.select(F.col("__key").alias(key), F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids"))
-        return short_rows.unionByName(long_rows)
+        return short_rows.unionByName(gathered.select(F.col("__key").alias(key), F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids")))
 
     def decode(self, ids: Column) -> Column:
         """The text of a list of ids: the pieces' bytes put together; null for null, and for an id outside the vocabulary."""
@@ -157,4 +163,4 @@ class ByteBpe:
 
 
 def encode_documents(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
-    return ByteBpe(docs.sparkSession, vocabulary).encode(docs, key, text)
+    return ByteBpe(vocabulary).encode(docs, key, text)

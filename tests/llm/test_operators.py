@@ -227,7 +227,7 @@ def test_encoding(spark):
     docs = spark.createDataFrame([(i, t, "k", [1]) for i, t in enumerate(texts)], "doc_id long, text string, word string, ids array<int>")
     own = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     own.encode_special_tokens = True
-    bpe = ByteBpe(spark, "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    bpe = ByteBpe("/opt/tokenizers/byte_bpe_50k.tiktoken")
     coded = bpe.encode(docs, "doc_id", "text")
     got = {r.doc_id: r.ids for r in coded.collect()}
     for i, t in enumerate(texts):
