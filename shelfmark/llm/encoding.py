@@ -127,7 +127,8 @@ class ByteBpe:
         held = texts.where(F.length("__text") > 0)
         # Each step is a written table: no word is cut or merged twice, and each plan holds the literal once.
         pairs = written(held.select("__key", F.explode(other).alias("word")), "words")
-        distinct = pairs.select("word").distinct()
+        # few bytes but much work: spread by number, as partitions sized by bytes would be one
+        distinct = pairs.select("word").distinct().repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
 
         def long(batches):
             known = read_ranks(path)
