@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from shelfmark.llm.lookalikes import Rewriter
 from shelfmark.plans.lineage import written
 
-BLOCK = 2_000  # pages of one host in one suffix array
+BLOCK, BLOCK_CHARS = 2_000, 8_000_000  # pages of one host in one suffix array, and their characters
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 SEPARATORS = frozenset("»>/›«:|–-·")
 POINTERS = frozenset("»>/›«:–")
@@ -223,9 +223,10 @@ def _furniture(docs: DataFrame, key: str, source: str, title: str, body: str, sh
     """(doc, line, opening, ending): the lines of ``furniture``, for line 0 with the places where the own title begins and ends, null if unknown."""
     kind = docs.schema[key].dataType.simpleString()
     pages = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(source), F.lit("")).alias("host"), F.col(title).alias("title"), F.col(body).alias("body")).where("title IS NOT NULL OR body IS NOT NULL")
-    sizes = pages.groupBy("host").agg(F.count("*").alias("size"))
-    # a host of any size falls into blocks of about BLOCK pages, spread evenly
-    blocked = pages.join(sizes, "host").withColumn("block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK)))
+    sizes = pages.groupBy("host").agg(F.count("*").alias("size"), F.sum(F.coalesce(F.length("body"), F.lit(0))).alias("chars"))
+    # a host of any size falls into blocks of bounded size, spread evenly
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("chars") / BLOCK_CHARS))
+    blocked = pages.join(sizes, "host").withColumn("block", F.pmod(F.xxhash64("doc"), blocks))
     build = _block_spans(kind)
     found = blocked.select("host", "block", "doc", "title", "body").groupBy("host", "block").applyInPandas(lambda k, f: build(f).assign(host=k[0]), SPANS.format(kind=kind) + ", host string")
     spans = written(found, "spans")
