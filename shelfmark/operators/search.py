@@ -147,6 +147,30 @@ class Searcher:
         page = narrow.orderBy(*by).limit(offset + limit).offset(offset) if limit else narrow.limit(0)
         return self.index.documents.join(page.drop(*[f"__k{i}" for i in range(len(order))]), "id")
 
+    def answer(self, request: Request) -> dict[str, DataFrame]:
+        """Total, facets and hits of one request over one stored evaluation of its matches.
+
+        The matches are kept in executors' memory until ``release`` is called on
+        the answer; a lost part is computed again.
+        """
+        plan = self.plan(request.query, request.fuzzy, request.typing)
+        matches = None if plan is None else self.matches(plan, ranked=request.sort is None).persist()
+        once = Searcher(self.index, self.fields, self.boosts)
+        once.plan = lambda *_, **__: plan
+        once.matches = lambda *_, **__: matches
+        parts = {"total": once.total(request), "hits": once.hits(request)}
+        if request.facets:
+            parts["facets"] = once.facets(request)
+        self._held = [*getattr(self, "_held", []), matches]
+        return parts
+
+    def release(self) -> None:
+        """Frees what answers have kept."""
+        for frame in getattr(self, "_held", []):
+            if frame is not None:
+                frame.unpersist()
+        self._held = []
+
     def _order(self, request: Request, plan: Plan | None):
         if request.sort:
             builtin = {"id", "title", "url", "description"}

@@ -82,6 +82,18 @@ def test_facets_skip_their_own_filter(index, docs):
     assert facet_counts(docs.limit(0), FIELDS, True).count() == 0
 
 
+def test_an_answer_evaluates_its_matches_once(index):
+    searcher = Searcher(index, FIELDS)
+    request = Request("gold", {"lang": "en"}, facets=["lang"], typing=False)
+    parts = searcher.answer(request)
+    assert parts["total"].first().total == searcher.total(request).first().total
+    assert {tuple(r) for r in parts["facets"].collect()} == {tuple(r) for r in searcher.facets(request).collect()}
+    assert [r.id for r in parts["hits"].collect()] == [r.id for r in searcher.hits(request).collect()]
+    for part in parts.values():
+        assert "InMemoryTableScan" in part._jdf.queryExecution().executedPlan().toString()
+    searcher.release()
+
+
 def test_filters(index):
     ids = lambda f: {r.id for r in Searcher(index, FIELDS).found(Request(filters=f)).collect()}
     assert ids({"lang": []}) == set() and ids({"tags": []}) == set()
