@@ -120,7 +120,7 @@ class ByteBpe:
         short words with short lists, and each text once. The words of very
         long texts are brought together by their places instead.
         """
-        path = self.path
+        sent = docs.sparkSession.sparkContext.broadcast(self.ranks)  # a vocabulary has a fixed size
         words = F.regexp_extract_all(F.col("__text"), F.lit(PATTERN), F.lit(0))
         texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
         other = F.array_distinct(F.filter(words, lambda w: self.whole(w).isNull()))
@@ -131,7 +131,7 @@ class ByteBpe:
         distinct = pairs.select("word").distinct().repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
 
         def long(batches):
-            known = read_ranks(path)
+            known = sent.value
             for batch in batches:
                 column = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(w.encode("utf-8"), known) for w in column], pa.list_(pa.int32()))], names=["word", "ids"])
