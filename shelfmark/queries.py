@@ -23,6 +23,7 @@ from shelfmark.operators.search import Request, Searcher
 from shelfmark.operators.suggest import suggest
 from shelfmark.operators.variants import term_variants
 from shelfmark.plans.lineage import shared_dir
+from shelfmark.plans.ship import ship
 from shelfmark.plans.syntax import emit, parse
 from shelfmark.sources.html import canonical_url, extracted
 from shelfmark.sources.records import checked_records
@@ -43,6 +44,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
