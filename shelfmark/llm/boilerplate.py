@@ -193,12 +193,13 @@ def furniture(docs: DataFrame, key: str, source: str, title: str, body: str, sha
     A line is boilerplate if at least ``share`` of its host's pages (and
     ``least`` pages) hold it, or ``spread_share`` of all pages on at least
     ``spread_hosts`` of the hosts. Pointers open with a lead that is boilerplate
-    in the same sense; leads are rarer than lines and take an eighth of the
+    in the same sense. What is boilerplate on two hosts is on every host, and
+    for pages without source what is on any. Leads are rarer than lines and take an eighth of the
     pages on a fifth of the hosts. Unique names under a heading, up to the next sentence or
     boilerplate line, belong to it. A title carries its site's name if its
     opening or end, with the separating sign, stands in ``title_share`` of the
     host's titles and mostly on this host. Lines count from 1; blank lines and
-    null fields give no rows; pages without source form a host of their own.
+    null fields give no rows.
     """
     return _furniture(docs, key, source, title, body, share, least, spread_share, spread_hosts, title_share).select(F.col("doc").alias(key), F.col("line").cast("long").alias("line_no"))
 
@@ -238,7 +239,11 @@ def _furniture(docs: DataFrame, key: str, source: str, title: str, body: str, sh
     wide = lambda share, hosts: (F.col("all") >= max(least, share * (total.pages or 0))) & (F.col("hosts") >= max(2, hosts * (total.hosts or 0)))
     spread = (F.col("part") == 0) & wide(spread_share, spread_hosts) | (F.col("part") == 1) & wide(spread_share / 8, spread_hosts / 5)
     own_name = (F.col("part") < 2) | (F.col("n") >= 0.5 * F.col("all"))
-    boiler = written(counts.where((in_host | spread) & own_name).select("host", "part", "key"), "boilerplate")
+    own = counts.where((in_host | spread) & own_name).select("host", "part", "key")
+    # what several hosts repeat is known as furniture on all of them; a page of no host takes what any host repeats
+    shared = own.groupBy("part", "key").agg(F.count("*").alias("k"))
+    lent = by_host.select("host", "part", "key").join(shared, ["part", "key"]).where((F.col("part") < 2) & (F.col("k") >= 2) | (F.col("host") == "")).select("host", "part", "key")
+    boiler = written(own.unionByName(lent).distinct(), "boilerplate")
     titles = spans.where("part >= 2").join(boiler, ["host", "part", "key"], "left_semi").groupBy("doc").agg(F.lit(0).alias("line"), F.max(F.when((F.col("part") == 2) & (F.col("cut") >= 0), F.col("cut"))).alias("opening"), F.min(F.when((F.col("part") == 3) & (F.col("cut") >= 0), F.col("cut"))).alias("ending"))
     leads = spans.where("part = 1").join(boiler, ["host", "part", "key"], "left_semi").select("doc", "line").distinct().withColumn("lead", F.lit(True))
     whole = boiler.where("part = 0").select("host", "key", F.lit(True).alias("repeated"))

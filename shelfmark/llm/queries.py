@@ -17,6 +17,7 @@ from shelfmark.llm.lines import excessive_lines, without_lines
 from shelfmark.llm.lookalikes import rewritten
 from shelfmark.llm.neardup import similar_groups, similar_pairs
 from shelfmark.llm.quality import text_quality
+from shelfmark.plans.ship import ship
 
 TOKENIZERS = os.environ.get("SHELFMARK_TOKENIZERS", "/opt/tokenizers")
 QUERIES: dict = {}
@@ -34,6 +35,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
