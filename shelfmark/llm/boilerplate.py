@@ -231,7 +231,7 @@ def _furniture(docs: DataFrame, key: str, source: str, title: str, body: str, sh
     build = _block_spans(kind)
     found = blocked.select("host", "block", "doc", "title", "body").groupBy("host", "block").applyInPandas(lambda k, f: build(f).assign(host=k[0]), SPANS.format(kind=kind) + ", host string")
     spans = written(found, "spans")
-    by_host = spans.groupBy("host", "part", "key").agg(F.sum(F.when(F.col("first"), F.col("pages"))).alias("n"))
+    by_host = written(spans.groupBy("host", "part", "key").agg(F.sum(F.when(F.col("first"), F.col("pages"))).alias("n")), "by-host")
     total = sizes.agg(F.sum("size").alias("pages"), F.count("*").alias("hosts")).first()  # one row
     everywhere = by_host.groupBy("part", "key").agg(F.sum("n").alias("all"), F.count("*").alias("hosts"))
     counts = by_host.join(sizes, "host").join(everywhere, ["part", "key"])
