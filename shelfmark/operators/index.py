@@ -89,9 +89,12 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
     spark = docs.sparkSession
     docs.write.mode("overwrite").parquet(f"{path}/documents")
     docs = spark.read.parquet(f"{path}/documents")
-    ranged = postings_of(docs, names)
+    # ranges are found by a pass of their own, which reads finished postings and makes none
+    postings_of(docs, names).write.mode("overwrite").parquet(f"{path}/unordered")
+    ranged = spark.read.parquet(f"{path}/unordered")
     ranged = ranged.repartitionByRange(partitions, "term") if partitions else ranged.repartitionByRange("term")
     ranged.sortWithinPartitions("term", "id", "col").write.mode("overwrite").parquet(f"{path}/postings")
+    _remove(spark, f"{path}/unordered")
     lengths_of(docs, names).write.mode("overwrite").parquet(f"{path}/lengths")
     vocabulary_of(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     if variants is not None:
@@ -100,6 +103,11 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
     return open_index(spark, path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     """A written index; one of another version is refused."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
