@@ -286,6 +286,11 @@ def search_proximity(spark, sf_dir):
     return s.matches(s.plan("amber cellar", typing=False)).select("id", "proximity")
 
 
+def flagship(spark, sf_dir):
+    """The best documents for any of three materials."""
+    return _page(searcher(spark, sf_dir).hits(Request("amber OR copper OR limestone", typing=False)))
+
+
 def _boosted(factor: str) -> str:
     rank = f"-({_part('a')}) * {factor}"
     return f"WITH {TOK_SQL}, {_bm25({'a': _AMBER['a']})} SELECT k1.id, round(-({_part('a')}), 6) AS score FROM per JOIN lens USING (id) JOIN k1 USING (id), idf, size WHERE f_a > 0 ORDER BY {rank}, k1.id LIMIT 30"
