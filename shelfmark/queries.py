@@ -6,6 +6,7 @@ pages say. Its index is written once for each session and data folder.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,15 +181,29 @@ _match("match_degraded", '"amber cellar', f"{_has('amber')} AND {_has('cellar')}
 def query_emit(spark, sf_dir):
     # the table holds a word with a hyphen as one and never extends a corrected word, unlike the index
     plain = "(corrections IS NULL OR cardinality(corrections) = 0) AND NOT coalesce(q, '') RLIKE '[a-z]-[a-z]'"
-    rows = table(spark, sf_dir, "query_vectors").where(plain).select("query_id", "q")
+    return expressions(table(spark, sf_dir, "query_vectors").where(plain))
 
-    def read(frames):
-        for frame in frames:
-            trees = [parse(q) if isinstance(q, str) else None for q in frame["q"]]
-            frame["fts"] = [emit(t) if t else None for t in trees]
-            yield frame
 
-    return rows.mapInPandas(read, "query_id long, q string, fts string")
+@query()
+def query_emit_all(spark, sf_dir):
+    """Every row, with its corrections. The table's own form differs from the index's (see ``query_emit``), so there is no SQL."""
+    return expressions(table(spark, sf_dir, "query_vectors"))
+
+
+def expressions(rows: DataFrame) -> DataFrame:
+    """(query_id, q, fts) of ``rows`` (query_id, q, corrections); forms offered for a word that is no term of its query are not used."""
+
+    def read(batches):
+        for batch in batches:
+            texts, offered = batch.column("q").to_pylist(), batch.column("corrections").to_pylist()
+            found = []
+            for q, pairs in zip(texts, offered):
+                tree = parse(q) if q is not None else None
+                forms = {word: [f for f in given or [] if f is not None] for word, given in pairs or []}
+                found.append(emit(tree, correct=forms.get) if tree else None)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), pa.array(found, pa.string())], ["query_id", "q", "fts"])
+
+    return rows.select("query_id", "q", "corrections").mapInArrow(read, "query_id long, q string, fts string")
 
 
 # --- ranking --------------------------------------------------------------------

@@ -50,3 +50,16 @@ def test_no_text_fails(text):
 def test_exclusions_stack():
     node = parse("a -b -c")
     assert isinstance(node, Not) and isinstance(node.left, Not)
+
+
+def test_every_row_has_its_expression(spark, tmp_path):
+    from shelfmark.queries import query_emit_all
+
+    rows = [
+        (1, "cartouchr limestone", {"cartouchr": ["cartouche", None]}, '("cartouchr" OR "cartouche") AND "limestone"*'), (2, "limestone -cartouchr granite", {"cartouchr": ["cartouche"]}, '("limestone" AND "granite"*) NOT "cartouchr"'),
+        (3, "limestone cartouchr", {"cartouchr": ["Cartouche", "cart"], "other": ["x"]}, '"limestone" AND ("cartouchr"* OR "Cartouche"* OR "cart"*)'), (3, "limestone cartouchr", {"cartouchr": ["Cartouche", "cart"], "other": ["x"]}, '"limestone" AND ("cartouchr"* OR "Cartouche"* OR "cart"*)'),
+        (4, "reading-room oak", None, '"reading" AND "room" AND "oak"*'), (5, "title:cartouchr", {"cartouchr": ["cartouche"]}, '{title}:"cartouchr"*'), (6, "tomb", {"tomb": None}, '"tomb"*'), (7, " ", {"a": ["b"]}, None), (8, None, None, None),
+    ]
+    spark.createDataFrame([r[:3] for r in rows], "query_id long, q string, corrections map<string, array<string>>").write.parquet(f"{tmp_path}/query_vectors.parquet")
+    got = sorted(map(tuple, query_emit_all(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(((k, q, fts) for k, q, _, fts in rows), key=str)
