@@ -23,8 +23,9 @@ def repeated_lines(docs: DataFrame, key: str, source: str, body: str, dates: Dat
     ``min_dates``. ``n_docs`` counts all documents and decides with
     ``min_docs`` and ``min_share``, the share of the source's documents with a
     body. ``dates`` has (key, published_on); documents without one count as one
-    date. Documents without source or body, and lines with fewer than
-    ``min_letters`` letters, do not count.
+    date in ``n_dates``, but as a date each against ``min_dates``, so that
+    missing dates hold no line back. Documents without source or body, and lines
+    with fewer than ``min_letters`` letters, do not count.
     """
     lines = _lines(docs, key, source, body, min_letters)
     if dates is not None:
@@ -35,9 +36,14 @@ def repeated_lines(docs: DataFrame, key: str, source: str, body: str, dates: Dat
     forms = lines.select("source", "cluster", "on", F.explode(F.array_distinct("forms")).alias("form_id")).where("form_id IS NOT NULL")
     clusters = forms.groupBy("source", "form_id", "cluster").agg(F.count("*").alias("n"), F.min("on").alias("on"))
     days = clusters.groupBy("source", "form_id", "on").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
-    counts = days.groupBy("source", "form_id").agg(F.sum("n").alias("n_docs"), F.sum("c").alias("n_clusters"), F.count("*").alias("n_dates"))
+    sums = [F.sum("n").alias("n_docs"), F.sum("c").alias("n_clusters"), F.count("*").alias("n_dates")]
+    if min_dates > 1:
+        sums.append((F.count("*") + F.sum(F.when(F.col("on").isNull(), F.col("c") - 1).otherwise(0))).alias("possible"))
+    counts = days.groupBy("source", "form_id").agg(*sums)
     sizes = docs.where(F.col(body).isNotNull() & F.col(source).isNotNull()).groupBy(F.col(source).alias("source")).agg(F.count("*").alias("size"))
-    kept = counts.where((F.col("n_docs") >= min_docs) & (F.col("n_clusters") >= min_clusters) & (F.col("n_dates") >= min_dates))
+    kept = counts.where((F.col("n_docs") >= min_docs) & (F.col("n_clusters") >= min_clusters))
+    if min_dates > 1:
+        kept = kept.where(F.col("possible") >= min_dates).drop("possible")
     return kept.join(sizes, "source").where(F.col("n_docs") >= F.col("size") * min_share).drop("size")
 
 

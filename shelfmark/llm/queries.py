@@ -45,12 +45,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive_terms(docs, "doc_id", ["title", "body"], min_tf=3, max_df=5, pattern=r"^\p{L}{5,}$").select("doc_id", "term")
 
 
+def _dates(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """(doc_id, published_on) of documents whose page has a date."""
+    stamps = published_instants(table(spark, sf_dir, "site_pages"), table(spark, sf_dir, "sites"))
+    return docs.select("doc_id", "page_id").join(stamps, "page_id").select("doc_id", F.timestamp_micros("published_us").cast("date").alias("published_on"))
+
+
 @query()
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    stamps = published_instants(table(spark, sf_dir, "site_pages"), table(spark, sf_dir, "sites"))
-    dates = docs.select("doc_id", "page_id").join(stamps, "page_id").select("doc_id", F.timestamp_micros("published_us").cast("date").alias("published_on"))
-    return excessive_lines(docs, "doc_id", "source", "body", dates=dates)
+    return excessive_lines(docs, "doc_id", "source", "body", dates=_dates(spark, sf_dir, docs))
 
 
 @query()
@@ -111,8 +115,10 @@ def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "body")
-    return without_lines(docs, "doc_id", "body", excessive_lines(docs, "doc_id", "source", "body")).select("doc_id", "body")
+    """Bodies without the lines that p3_found has, but for those that only copies of a few articles or pages of one day repeat."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "page_id", "source", "body")
+    found = excessive_lines(docs, "doc_id", "source", "body", dates=_dates(spark, sf_dir, docs), min_clusters=5, min_dates=2)
+    return without_lines(docs, "doc_id", "body", found).select("doc_id", "body")
 
 
 @query()

@@ -78,6 +78,22 @@ def test_repeated_lines(spark):
     assert excessive_lines(docs.limit(0), "doc_id", "source", "body").count() == 0
 
 
+def test_cleaning_keeps_articles_published_again(spark, tmp_path):
+    from shelfmark.llm.queries import p3_clean
+
+    notice, today = "Read our cookie policy", "Closed for the holiday today"
+    bodies = [f"Own line {chr(97 + i)}\n{notice}" for i in range(6)] + ["An article about amber\nin two lines"] * 6 + [f"Other line {chr(97 + i)}\n{today}" for i in range(5)]
+    days = [f"2020-01-0{i + 1}" for i in range(6)] + ["2020-02-01"] * 11
+    undated = [f"Undated line {chr(97 + i)}\n{notice}" for i in range(5)]
+    docs = [(i, i, "s", b) for i, b in enumerate(bodies)] + [(100 + i, 100 + i, "t", b) for i, b in enumerate(undated)] + [(200, 200, "s", None)]
+    spark.createDataFrame(docs, "doc_id long, page_id long, source string, body string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(i, "s", d) for i, d in enumerate(days)] + [(100 + i, "t", "unknown") for i in range(5)]
+    spark.createDataFrame(pages, "page_id long, source string, published string").withColumn("crawled_at", F.lit(None).cast("timestamp_ntz")).write.parquet(f"{tmp_path}/site_pages.parquet")
+    spark.createDataFrame([("s", "en", "UTC", "dmy"), ("t", "en", "UTC", "dmy")], "source string, lang string, tz string, date_order string").write.parquet(f"{tmp_path}/sites.parquet")
+    clean = {r.doc_id: r.body for r in p3_clean(spark, str(tmp_path)).collect()}
+    assert clean == {i: b if i >= 6 else b.split("\n")[0] for i, b in enumerate(bodies)} | {100 + i: b.split("\n")[0] for i, b in enumerate(undated)} | {200: None}
+
+
 def test_lookalikes():
     change = Rewriter({})
     cases = {
