@@ -54,6 +54,33 @@ def ngrams(docs: DataFrame, key: str, text: str, size: int = 2, valid: str = r"^
     return each.groupBy("gram").agg(F.count("*").alias("df"))
 
 
+STOP = (
+    "able about across after almost also among because been cannot could dear either else ever every from have however into just least like likely might most must neither often only other "
+    "rather said says should since some than that their them then there these they this wants were what when where which while whom will with would your"
+).split()
+
+
+def phrases(docs: DataFrame, key: str, texts: list[str], sizes: tuple[int, ...] = (2, 3), least: int = 4, stop: list[str] = STOP) -> DataFrame:
+    """(gram, df): runs of neighbouring words of each of ``sizes``, all different and none in ``stop``, with the number of documents that hold them.
+
+    The texts of a document are read one after another. Words of fewer than
+    ``least`` characters are passed over, so their neighbours meet; a word in
+    ``stop`` parts its neighbours.
+    """
+    both = F.concat_ws(" ", *texts)
+    words = docs.select(F.col(key).alias("id"), F.filter(tokens(both), lambda w: F.length(w) >= least).alias("w"))
+    # a stop word becomes null, which no run may hold
+    words = words.withColumn("w", F.transform("w", lambda w: F.when(~w.isin(stop), w)))
+
+    def of(size: int) -> Column:
+        starts = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(starts, lambda i: F.slice("w", i, F.lit(size)))
+        return F.transform(F.filter(runs, lambda g: (F.size(F.array_distinct(g)) == size) & ~F.exists(g, lambda x: x.isNull())), lambda g: F.array_join(g, " "))
+
+    each = words.select("id", F.explode(F.array_distinct(F.concat(*map(of, sizes)))).alias("gram"))
+    return each.groupBy("gram").agg(F.count("*").alias("df"))
+
+
 def prefix_bound(vocabulary: DataFrame, prefixes: list[str]) -> DataFrame:
     """(prefix, bound): the documents of all words with a prefix, added up."""
     matched = F.filter(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(F.col("term"), p))

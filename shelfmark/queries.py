@@ -519,6 +519,19 @@ def ngram_df(spark, sf_dir):
     return profile.ngrams(composed(table(spark, sf_dir, "documents").where("body IS NOT NULL").select("doc_id", "body"), ["body"]), "doc_id", "body")
 
 
+_STOP = ", ".join(f"'{w}'" for w in profile.STOP)
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, {_toks("concat_ws(' ', title, body)")} AS w FROM documents),
+n AS (SELECT id, unnest(w) AS a, generate_subscripts(w, 1) AS p FROM (SELECT id, list_filter(w, lambda x: length(x) >= 4) AS w FROM d)), v AS (SELECT * FROM n WHERE a NOT IN ({_STOP})),
+g AS (SELECT x.id, x.a || ' ' || y.a AS gram FROM v x JOIN v y ON x.id = y.id AND y.p = x.p + 1 WHERE x.a <> y.a
+ UNION SELECT x.id, x.a || ' ' || y.a || ' ' || z.a FROM v x JOIN v y ON x.id = y.id AND y.p = x.p + 1 JOIN v z ON x.id = z.id AND z.p = x.p + 2 WHERE x.a <> y.a AND y.a <> z.a AND x.a <> z.a)
+SELECT gram, count(*)::BIGINT AS df FROM g GROUP BY gram""")
+def phrase_df(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "body")
+    return profile.phrases(composed(docs, ["title", "body"]), "doc_id", ["title", "body"])
+
+
 @query(f"WITH {TOK_SQL}, voc AS (SELECT term, count(DISTINCT id)::BIGINT AS doc FROM tok GROUP BY term), g AS (SELECT unnest([1, 10, 100]) AS target) SELECT target, arg_min(term, (abs(doc - target), term)) AS term, arg_min(doc, (abs(doc - target), term)) AS doc FROM voc, g GROUP BY target")
 def band_pick(spark, sf_dir):
     return profile.nearest_frequency(index_of(spark, sf_dir).vocabulary, "term", "doc", [1, 10, 100])

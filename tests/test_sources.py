@@ -95,3 +95,25 @@ def test_stream_adds_documents(spark, tmp_path):
         (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"id": n, "title": "gold", "body": "gold kiln"}))
         follow(spark, str(tmp_path / "in"), "id long, title string, body string", str(tmp_path / "ix"), ["title", "body"], str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ix" / "postings")).where("term = 'gold'").count() == 4
+
+
+def test_phrases_of_two_and_three_words(spark, tmp_path):
+    import re
+    from collections import Counter
+    from itertools import product
+
+    from shelfmark.operators.profile import STOP
+    from shelfmark.queries import phrase_df
+
+    rows = [(1, "Golden coffin", "of the golden coffin with amber, amber bead 2020"), (2, None, "Κόσμος λίθος κήπος και golden coffin bead"), (3, "x", None), (4, None, None), (5, "Coffin", "bead which bead golden bead coffin"), (6, "Cafe\u0301 noir", "一二三四 五六七八")]
+    spark.createDataFrame(rows, "doc_id long, title string, body string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.gram: r.df for r in phrase_df(spark, str(tmp_path)).collect()}
+    plain = {"café": "cafe", "κόσμος": "κόσμοσ", "λίθος": "λίθοσ", "κήπος": "κήποσ"}
+    want = Counter()
+    for _, title, body in rows:
+        text = " ".join(x for x in (title, body) if x is not None).lower().replace("e\u0301", "é")
+        words = [plain.get(w, w) for w in re.findall(r"[^\W_]+", text) if len(w) >= 4]
+        runs = {tuple(words[i : i + n]) for n, i in product((2, 3), range(len(words))) if i + n <= len(words)}
+        want.update(" ".join(r) for r in runs if len(set(r)) == len(r) and not set(r) & set(STOP))
+    assert got == dict(want)
+    assert got["golden coffin"] == 2 and got["amber bead 2020"] == 1 and got["κόσμοσ λίθοσ κήποσ"] == 1
