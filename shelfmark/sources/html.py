@@ -201,7 +201,10 @@ def glob_pattern(glob: str) -> str:
 
 def discovered(spark: SparkSession, root: str, base: str, include: list[str] = ("**/*.html",), exclude: list[str] = ()) -> DataFrame:
     """(path, url, html) of the pages under a directory; two pages of one address are an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.htm*").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if all(g.endswith((".html", ".htm")) for g in include):
+        reader = reader.option("pathGlobFilter", "*.htm*")
+    files = reader.load(root)
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(root.rstrip("/")) + "/", "")
     java = lambda g: glob_pattern(g).replace("\\Z", "$").replace("(?s:", "(?:").replace("\\z", "$")
     keep = F.lit(False)

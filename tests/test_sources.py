@@ -7,7 +7,7 @@ from shelfmark.errors import BuildError
 from shelfmark.functions.distance import edit_distance
 from shelfmark.operators.compile import compile_site
 from shelfmark.operators.search import Request, Searcher
-from shelfmark.sources.html import Source, parse_html, prune, select
+from shelfmark.sources.html import Source, discovered, parse_html, prune, select
 from shelfmark.sources.synthetic import dense_ids, synthetic_corpus
 from shelfmark.streaming.append import follow
 
@@ -35,6 +35,16 @@ def test_pages_become_an_index(spark, site):
     assert urls("golden") == {"https://x.example/"} and urls("secret") == set() and urls("khufu") == {"https://x.example/", "https://x.example/b/"}
 
 
+def test_declared_includes_alone_choose_the_pages(spark, site):
+    for name in ("d.xhtml", "b/e.php", "F.HTML", "notes.txt"):
+        (site / "site" / name).write_text(PAGE.format(c="guide", t=name, b="Amber", tags=""))
+    urls = lambda *include: {r.url for r in discovered(spark, str(site / "site"), "https://x.example", list(include)).select("url").collect()}
+    pages = {f"https://x.example/{p}" for p in ("", "b/", "c/page.html")}
+    assert urls("**/*.html") == pages
+    assert urls("**/*.html", "**/*.xhtml", "**/*.php", "**/*.HTML") == pages | {f"https://x.example/{p}" for p in ("d.xhtml", "b/e.php", "F.HTML")}
+    assert len(urls("**/*")) == 7
+
+
 def test_missing_required_field_is_an_error(spark, site):
     page = (site / "site" / "c" / "page.html")
     page.write_text(page.read_text().replace("data-category='guide'", ""))
