@@ -43,13 +43,15 @@ VAGUE = "before after until since about around circa approx ca vor nach bis seit
 
 PARTS = ("y", "yy", "mo", "name", "d", "doy", "wk", "wd", "a", "b", "h", "mi", "s", "f", "ap", "zone", "epoch")
 SEP = "\x1f"
+WS = r"[\s\p{Z}\x{200b}\x{feff}]"
+LONGEST = 200
 
 
 def stamp_pattern() -> tuple[str, str]:
     """The alternation over all notations, and the replacement that lists its components in the order of PARTS."""
     names = "|".join(sorted((w for v in MONTHS.values() for w in v.split()), key=len, reverse=True))
     days = "|".join(sorted(set(DAYS.split()), key=len, reverse=True))
-    ws = r"[\s\p{Z}\x{200b}\x{feff}]"
+    ws = WS
     groups: dict[str, list[str]] = {p: [] for p in PARTS}
 
     def g(part: str, pattern: str) -> str:
@@ -97,12 +99,15 @@ def normalize_timestamps(df: DataFrame, value: str, zone: str, order: str, out:
 
     ``zone`` is the column with the zone of local times, ``order`` the one with
     ``dmy`` or ``mdy`` for days and months between slashes (null: ``dmy``).
+    Values of more than ``LONGEST`` characters, of longer runs of white space two
+    counted, name no instant.
     """
     spark = df.sparkSession
     pattern, replacement = stamp_pattern()
     held = f"__{out}_parts"
     # a stamp is short; what is far longer is none, and costs no backtracking
-    short = F.when(F.length(value) <= 200, F.col(value))
+    bare = F.regexp_replace(F.col(value), rf"({WS}{{2}}){WS}++", "$1")
+    short = F.when(F.length(value) <= LONGEST, F.col(value)).when(F.length(bare) <= LONGEST, bare)
     df = df.withColumn(held, F.split(F.regexp_replace(short, pattern, replacement.replace("\\", "\\\\")), SEP))
     text = lambda p: F.get(F.col(held), F.lit(PARTS.index(p) + 1))
     num = lambda p: F.when(text(p) != "", text(p)).try_cast("long")

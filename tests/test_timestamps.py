@@ -57,6 +57,14 @@ def test_every_notation(spark):
     assert not wrong
 
 
+def test_white_space_does_not_count_as_length(spark):
+    stamp = "2012-01-01T00:00:00Z"
+    cases = [(" " * 200 + stamp, True), (stamp + "\n" * 300, True), ("\u00a0\u200b" * 200 + stamp + " \t" * 50_000, True), (" " * 300 + "x" * 200, False), ("Published:" + " " * 150 + stamp, True), ("Published:" + " " * 300 + stamp, True), ("x" + " " * 100_000 + "x", False)]
+    rows = spark.createDataFrame([(i, v, "UTC", "dmy") for i, (v, _) in enumerate(cases)], "i int, v string, z string, o string")
+    got = {r.i: r.us for r in normalize_timestamps(rows, "v", "z", "o", "us").collect()}
+    assert got == {i: micros(2012, 1, 1) if good else None for i, (_, good) in enumerate(cases)}
+
+
 def test_tables_with_nulls_copies_and_clashing_names(spark):
     pages = spark.createDataFrame([(1, "a", "2012-01-01", "x"), (1, "a", "2012-01-01", "y"), (2, "b", "2012-01-01", "x"), (None, "a", "2012-01-01", "x"), (3, None, "2012-01-01Z", "x"), (4, "a", None, "x")], "page_id long, source string, published string, tz string")
     sites = spark.createDataFrame([("a", "UTC", "dmy", 1), ("a", "UTC", "dmy", 2)], "source string, tz string, date_order string, published int")
