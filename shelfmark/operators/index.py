@@ -99,25 +99,39 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
     vocabulary_of(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     if variants is not None:
         variants.write.mode("overwrite").parquet(f"{path}/variants")
-    spark.createDataFrame([(json.dumps({"version": VERSION, "columns": list(columns.items()), "positions": positions, "variants": variants is not None}, sort_keys=True),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    write_manifest(spark, path, columns, positions, variants is not None)
     return open_index(spark, path)
 
 
+def write_manifest(spark: SparkSession, path: str, columns: dict[str, float], positions: bool = True, variants: bool = False) -> None:
+    text = json.dumps({"version": VERSION, "columns": list(columns.items()), "positions": positions, "variants": variants}, sort_keys=True)
+    spark.createDataFrame([(text,)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def found(spark: SparkSession, pattern: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    """A written index; one of another version is refused."""
+    """A written index; one of another version is refused. Where batches were added, the vocabulary is counted from all postings."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
     if manifest["version"] != VERSION:
         raise BuildError("INDEX_VERSION", f"the index has version {manifest['version']}, this library reads {VERSION}")
-    table = lambda name: spark.read.parquet(f"{path}/{name}")
+    added = found(spark, f"{path}/postings/batch=*")
+    # files of the build and of batches lie in one folder, which Spark else takes for one of batches alone
+    reader = lambda: spark.read.option("recursiveFileLookup", True).option("mergeSchema", True) if added else spark.read
+    table = lambda name: reader().parquet(f"{path}/{name}")
     postings = table("postings")
+    vocabulary = vocabulary_of(postings) if added else table("vocabulary")
     if not manifest["positions"]:
         postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))
-    return Index(table("documents"), postings, table("lengths"), table("vocabulary"), dict(manifest["columns"]), manifest["positions"], table("variants") if manifest["variants"] else None)
+    return Index(table("documents"), postings, table("lengths"), vocabulary, dict(manifest["columns"]), manifest["positions"], spark.read.parquet(f"{path}/variants") if manifest["variants"] else None)
 
 
 def size_of(path: str) -> int:

@@ -6,6 +6,8 @@ from shelfmark.config import load
 from shelfmark.errors import BuildError
 from shelfmark.functions.distance import edit_distance
 from shelfmark.operators.compile import compile_site
+from shelfmark.operators.filters import Fields
+from shelfmark.operators.index import build, open_index
 from shelfmark.operators.search import Request, Searcher
 from shelfmark.sources.html import Source, discovered, parse_html, prune, select
 from shelfmark.sources.synthetic import dense_ids, synthetic_corpus
@@ -107,6 +109,23 @@ def test_stream_adds_documents(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "ix" / "postings")).where("term = 'gold'").count() == 4
 
 
+@pytest.mark.parametrize("built", [False, True])
+def test_followed_index_is_opened_and_searched(spark, tmp_path, built):
+    path, columns, schema = str(tmp_path / "ix"), {"title": 10.0, "body": 1.0}, "id long, title string, body string"
+    if built:
+        build(spark.createDataFrame([(10, "gold", "ring")], schema), columns, path)
+    (tmp_path / "in").mkdir()
+    for n, title in enumerate(("cafe\u0301 gold", "kiln")):
+        (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"id": n, "title": title, "body": "gold kiln"}))
+        follow(spark, str(tmp_path / "in"), schema, path, columns, str(tmp_path / "cp")).awaitTermination()
+    index = open_index(spark, path)
+    assert index.columns == columns
+    assert {r.term: (r.doc, r.cnt) for r in index.vocabulary.collect()} == {"cafe": (1, 1), "gold": (2 + built, 3 + built), "kiln": (2, 3)} | ({"ring": (1, 1)} if built else {})
+    search = lambda text: {r.id for r in Searcher(index, Fields()).found(Request(text, typing=False)).collect()}
+    assert search("café") == {0} and search("gold") == {0, 1} | ({10} if built else set()) and search("kiln") == {0, 1}
+    assert {r.id for r in index.lengths.collect()} == {r.id for r in index.documents.collect()} == {0, 1} | ({10} if built else set())
+
+
 def test_phrases_of_two_and_three_words(spark, tmp_path):
     import re
     from collections import Counter
