@@ -6,6 +6,8 @@ pages say. Its index is written once for each session and data folder.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -508,6 +510,32 @@ def dup_columns(spark, sf_dir):
     return profile.alike_columns(pages, ["category", "shape", "source"])
 
 
+# the same over the whole table
+
+PAGE_COLUMNS = ["page_id", "source", "url", "description", "category", "year", "rating", "featured", "published", "tags", "image", "catalog", "crawled_at", "ingested_at"]
+_TWINS = [*PAGE_COLUMNS, "shape"]
+
+
+@query(_payload(PAGE_COLUMNS))
+def payload_all_columns(spark, sf_dir):
+    found = profile.payload(table(spark, sf_dir, "site_pages"), PAGE_COLUMNS)
+    return found.select("field", "bytes", F.round("mean", 6).alias("mean"), "distinct_values")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field, count(DISTINCT {c})::BIGINT AS distinct_values FROM site_pages HAVING count(DISTINCT {c}) > 1000" for c in PAGE_COLUMNS))
+def high_cardinality_all_columns(spark, sf_dir):
+    return profile.high_cardinality(table(spark, sf_dir, "site_pages"), PAGE_COLUMNS)
+
+
+def _same(a: str, b: str) -> str:
+    return f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a}::VARCHAR IS NOT DISTINCT FROM {b}::VARCHAR)::BIGINT AS same, count(*) FILTER ({a}::VARCHAR = {b}::VARCHAR) AS held, count(*)::BIGINT AS rows FROM p"
+
+
+@query("WITH p AS (SELECT *, category AS shape FROM site_pages), x AS (" + " UNION ALL ".join(_same(a, b) for a, b in combinations(_TWINS, 2)) + ") SELECT a, b, same, rows FROM x WHERE same >= rows * 0.9 AND held > 0")
+def dup_all_columns(spark, sf_dir):
+    return profile.alike_columns(table(spark, sf_dir, "site_pages").withColumn("shape", F.col("category")), _TWINS)
+
+
 @query(f"SELECT 'FIELD_TYPE' AS code, source, count(*)::BIGINT AS n, list(page_id::VARCHAR ORDER BY page_id, crawled_at)[1:3] AS paths FROM site_pages WHERE published IS NOT NULL AND trim(published, ' ' || chr(9)) <> '' AND NOT (regexp_full_match(trim(published, ' ' || chr(9)), '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_cast(trim(published, ' ' || chr(9)) AS DATE) IS NOT NULL) GROUP BY source")
 def warnings_agg(spark, sf_dir):
     bad = table(spark, sf_dir, "site_pages").where(invalid(F.col("published"), "date")).withColumn("code", F.lit("FIELD_TYPE"))

@@ -146,3 +146,12 @@ def test_phrases_of_two_and_three_words(spark, tmp_path):
         want.update(" ".join(r) for r in runs if len(set(r)) == len(r) and not set(r) & set(STOP))
     assert got == dict(want)
     assert got["golden coffin"] == 2 and got["amber bead 2020"] == 1 and got["κόσμοσ λίθοσ κήποσ"] == 1
+
+
+def test_profiles_cover_every_column():
+    import __spark_entry__ as entry
+    from shelfmark.queries import PAGE_COLUMNS
+
+    assert len(PAGE_COLUMNS) == 14
+    for name in ("payload_all_columns", "high_cardinality_all_columns", "dup_all_columns"):
+        assert name in entry.queries() and all(f"'{c}'" in entry.oracle_sql()[name] for c in PAGE_COLUMNS)
