@@ -58,15 +58,16 @@ def main(argv: list[str] | None = None) -> int:
             synthetic_corpus(spark, args.count, args.seed).write.mode("overwrite").parquet(args.path)
         elif args.command == "build":
             start = time.perf_counter()
-            index = compile_site(spark, args.root, config, args.index)
-            print(json.dumps(check_index(index, config.fields) | {"took": human_seconds(time.perf_counter() - start)}))
+            metrics: dict = {}
+            index = compile_site(spark, args.root, config, args.index, metrics)
+            print(json.dumps(check_index(index, config.fields) | {"took": human_seconds(time.perf_counter() - start), "metrics": metrics}, default=str))
         else:
             searcher = Searcher(open_index(spark, args.index), config.fields, config.boosts)
             if args.command == "suggest":
                 print(json.dumps([r.asDict() for r in suggest(searcher, args.text, args.kind).collect()], ensure_ascii=False))
             else:
                 request = Request(args.query, limit=args.limit, offset=args.offset, facets=args.facet)
-                hits = [r.asDict() for r in searcher.hits(request).orderBy("band", "proximity", "score", "id").collect()]
+                hits = [r.asDict() for r in searcher.hits(request).collect()]
                 counts = [r.asDict() for r in searcher.facets(request).orderBy("ord", "n", "value").collect()] if args.facet else []
                 print(json.dumps({"total": searcher.total(request).first().total, "hits": hits, "facets": counts}, ensure_ascii=False, default=str))
     except CodedError as error:

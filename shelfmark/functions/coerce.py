@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = r"[\s\p{Z}\x1c-\x1f\x85]+"
+# What reads as a number: decimals with an exponent, single underscores between digits, and the names of the special values.
+NUMBER = r"(?i)^[-+]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[-+]?\d+(?:_\d+)*)?|inf(?:inity)?|nan)$"
 # Words for true and false.
 TRUE, FALSE = ("true", "1", "yes", "y", "on"), ("false", "0", "no", "n", "off")
 
@@ -27,7 +29,7 @@ def coerce(value: Column, kind: str) -> Column:
         case "integer":
             return F.when(text.rlike(r"^[-+]?\d+$"), F.regexp_replace(text, r"^\+", "")).try_cast("long")
         case "number":
-            return text.try_cast("double")
+            return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit(""))).try_cast("double")
         case "boolean":
             return F.when(F.lower(text).isin(*TRUE), True).when(F.lower(text).isin(*FALSE), False)
         case "date":

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import re
 
-_C, _V = "[^aeiou]", "[aeiouy]"
-_FORM = re.compile(r"[^aeiouy][^aeiou]*|[aeiou][aeiou]*|y")
-
 # Suffixes of the published steps and what they become, where the stem's measure is positive.
 STEP_2 = "ational ate|tional tion|enci ence|anci ance|izer ize|logi log|bli ble|alli al|entli ent|eli e|ousli ous|ization ize|ation ate|ator ate|alism al|iveness ive|fulness ful|ousness ous|aliti al|iviti ive|biliti ble"
 STEP_3 = "icate ic|ative |alize al|iciti ic|ical ic|ful |ness "

@@ -6,11 +6,13 @@ import re
 import unicodedata as ud
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
-COMPOSING = r"[\u0300-\u036f\u3099\u309a]"
+# Marks, letters of Hangul, and signs whose composed form is another sign.
+COMPOSING = r"[\p{M}\u1100-\u11ff\u0374\u037e\u0387\u1fef\u2000\u2001\u2126\u212a\u212b\u2329\u232a\uf900-\ufaff]"
 
 
 @lru_cache(maxsize=1)
@@ -30,7 +32,8 @@ def fold_map() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    return F.translate(F.lower(text), *fold_map())
+    lower = F.lower(text)
+    return F.when(lower.rlike(r"[^\x00-\x7f]"), F.translate(lower, *fold_map())).otherwise(lower)
 
 
 def tokens(text: Column) -> Column:
@@ -38,19 +41,29 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
+def _normal(value):
+    """A text, or the texts of a list or map, in composed form."""
+    if isinstance(value, str):
+        return ud.normalize("NFC", value)
+    return type(value)(map(_normal, value)) if isinstance(value, (list, tuple)) else value
+
+
 def composed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with texts in composed form. Only rows that hold a composing character pass through Python."""
-    odd = F.lit(False)
+    """``df`` with the texts of some columns, also those in arrays and maps, in composed form. Only rows that hold a composing character pass through Python."""
+    odd, kinds = F.lit(False), dict(df.dtypes)
     for c in columns:
-        odd = odd | F.coalesce(F.col(c).rlike(COMPOSING), F.lit(False))
+        fits = lambda x: F.coalesce(x.rlike(COMPOSING), F.lit(False))
+        each = F.map_values(c) if kinds[c].startswith("map") else F.col(c)
+        odd = odd | F.coalesce(fits(F.col(c)) if kinds[c] == "string" else F.exists(each, fits), F.lit(False))
 
-    def compose(frames):
-        for frame in frames:
+    def compose(batches):
+        for batch in batches:
             for c in columns:
-                frame[c] = frame[c].map(lambda x: ud.normalize("NFC", x) if isinstance(x, str) else None)
-            yield frame
+                at = batch.schema.get_field_index(c)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(map(_normal, batch.column(at).to_pylist()), batch.schema.field(at).type))
+            yield batch
 
-    return df.where(~odd).unionByName(df.where(odd).mapInPandas(compose, df.schema))
+    return df.where(~odd).unionByName(df.where(odd).mapInArrow(compose, df.schema))
 
 
 _FOLDS = {ord(a): b for a, b in zip(*fold_map())}

@@ -44,7 +44,6 @@ VAGUE = "before after until since about around circa approx ca vor nach bis seit
 PARTS = ("y", "yy", "mo", "name", "d", "doy", "wk", "wd", "a", "b", "h", "mi", "s", "f", "ap", "zone", "epoch")
 SEP = "\x1f"
 WS = r"[\s\p{Z}\x{200b}\x{feff}]"
-LONGEST = 200
 
 
 def stamp_pattern() -> tuple[str, str]:
@@ -67,18 +66,18 @@ def stamp_pattern() -> tuple[str, str]:
         g("y", r"\d{4}") + g("mo", r"\d{2}") + g("d", r"\d{2}"),
         g("d", r"\d{1,2}") + r"\." + ws + "?" + g("mo", r"\d{1,2}") + r"\." + ws + "?(?:" + g("y", r"\d{4}") + "|" + g("yy", r"\d{2}") + ")",
         g("a", r"\d{1,2}") + "/" + g("b", r"\d{1,2}") + "/(?:" + g("y", r"\d{4}") + "|" + g("yy", r"\d{2}") + ")",
-        g("d", r"\d{1,2}") + rf"(?:st|nd|rd|th|er|\.)?[\s\p{{Z}}-]*(?:of{ws}+)?" + g("name", names) + rf"\.?,?[\s\p{{Z}}-]*" + g("y", r"\d{4}"),
-        g("name", names) + rf"\.?{ws}+" + g("d", r"\d{1,2}") + rf"(?:st|nd|rd|th)?,?{ws}+" + g("y", r"\d{4}"),
+        g("d", r"\d{1,2}") + rf"(?:st|nd|rd|th|er|\.)?[\s\p{{Z}}-]*(?:of{ws}++)?" + g("name", names) + rf"\.?,?[\s\p{{Z}}-]*" + g("y", r"\d{4}"),
+        g("name", names) + rf"\.?{ws}++" + g("d", r"\d{1,2}") + rf"(?:st|nd|rd|th)?,?{ws}++" + g("y", r"\d{4}"),
     ]
     clock = (
         "(?:" + g("h", r"\d{1,2}") + r"(?::|h)" + g("mi", r"\d{2}") + r"(?::" + g("s", r"\d{2}") + r"(?:[.,]" + g("f", r"\d+") + ")?)?"
         + "|" + g("h", r"\d{2}") + g("mi", r"\d{2}") + g("s", r"\d{2}") + r"(?:[.,]" + g("f", r"\d+") + ")?)"
-        + rf"(?:{ws}*" + g("ap", r"[ap]\.?m\.?(?!\p{L})") + rf")?(?:{ws}*uhr)?"
+        + rf"(?:{ws}*+" + g("ap", r"[ap]\.?m\.?(?!\p{L})") + rf")?(?:{ws}*+uhr)?"
     )
-    zone = rf"(?:{ws}*\(?" + g("zone", r"[a-z_]+/[a-z_]+(?:/[a-z_]+)?|(?:utc|gmt)?[+-]\d{2}(?::?\d{2})?|[a-z]{1,5}") + rf"\)?)?(?:{ws}*\[[^\]]*\])?"
-    body = rf"(?:(?:{days})[a-zé]*\.?,?{ws}+)?(?:" + "|".join(dates) + rf")(?:(?:t|,?{ws}+(?:at{ws}+|à{ws}+|um{ws}+)?|,)" + clock + ")?" + zone
-    lead = rf"(?:(?!(?:{'|'.join(VAGUE.split())})\b)\p{{L}}+:?{ws}+)?"
-    pattern = rf"(?iu)^{ws}*{lead}(?:" + g("epoch", r"\d{16}|\d{13}|\d{10}") + "|" + body + rf"){ws}*$"
+    zone = rf"(?:{ws}*+\(?" + g("zone", r"[a-z_]+/[a-z_]+(?:/[a-z_]+)?|(?:utc|gmt)?[+-]\d{2}(?::?\d{2})?|[a-z]{1,5}") + rf"\)?)?(?:{ws}*+\[[^\]]*\])?"
+    body = rf"(?:(?:{days})[a-zé]*\.?,?{ws}++)?(?:" + "|".join(dates) + rf")(?:(?:t|,?{ws}++(?:at{ws}++|à{ws}++|um{ws}++)?|,)" + clock + ")?" + zone
+    lead = rf"(?:(?!(?:{'|'.join(VAGUE.split())})\b)\p{{L}}+:?{ws}++)?"
+    pattern = rf"(?iu)^{ws}*+{lead}(?:" + g("epoch", r"\d{16}|\d{13}|\d{10}") + "|" + body + rf"){ws}*+$"
     return pattern, SEP + SEP.join("".join(f"${{{n}}}" for n in groups[p]) for p in PARTS) + SEP
 
 
@@ -99,16 +98,13 @@ def normalize_timestamps(df: DataFrame, value: str, zone: str, order: str, out:
 
     ``zone`` is the column with the zone of local times, ``order`` the one with
     ``dmy`` or ``mdy`` for days and months between slashes (null: ``dmy``).
-    Values of more than ``LONGEST`` characters, of longer runs of white space two
-    counted, name no instant.
+    A stamp may be of any length; white space around it costs no backtracking.
     """
     spark = df.sparkSession
     pattern, replacement = stamp_pattern()
     held = f"__{out}_parts"
-    # a stamp is short; what is far longer is none, and costs no backtracking
-    bare = F.regexp_replace(F.col(value), rf"({WS}{{2}}){WS}++", "$1")
-    short = F.when(F.length(value) <= LONGEST, F.col(value)).when(F.length(bare) <= LONGEST, bare)
-    df = df.withColumn(held, F.split(F.regexp_replace(short, pattern, replacement.replace("\\", "\\\\")), SEP))
+    stamp = F.when(~F.contains(F.col(value), F.lit(SEP)), F.col(value))  # the separator stands in no stamp
+    df = df.withColumn(held, F.split(F.regexp_replace(stamp, pattern, replacement.replace("\\", "\\\\")), SEP))
     text = lambda p: F.get(F.col(held), F.lit(PARTS.index(p) + 1))
     num = lambda p: F.when(text(p) != "", text(p)).try_cast("long")
     p = lambda k: F.col(f"{held}_{k}")

@@ -9,10 +9,12 @@ from shelfmark.config import Config
 from shelfmark.errors import BuildError
 from shelfmark.functions.coerce import array_of, coerce, collapsed, invalid
 from shelfmark.functions.text import composed
+from shelfmark.operators import profile
 from shelfmark.operators.index import Index, build
 from shelfmark.operators.variants import term_variants
 from shelfmark.sources.html import discovered, extracted
-from shelfmark.sources.records import checked_records, read_records, require_sound
+from shelfmark.plans.lineage import written
+from shelfmark.sources.records import checked_records, kind_at, read_records, require_sound, value_at
 from shelfmark.sources.synthetic import dense_ids
 
 
@@ -21,7 +23,8 @@ def pages_to_documents(pages: DataFrame, config: Config) -> tuple[DataFrame, Dat
     seen = {"__title": config.selectors["title"], "__description": config.selectors["description"], "__body": config.selectors["body"]}
     seen |= {f"__c_{n}": s for n, s in config.column_sources.items()} | {f"__e{i}": s for i, s in enumerate(config.body_extra)}
     rows = extracted(pages, "html", seen, {f"__f_{n}": s for n, s in config.sources.items()})
-    rows = dense_ids(rows.drop("html"), ["url", "path"])
+    # pages are parsed once: what is read of them is a table
+    rows = dense_ids(written(rows.drop("html"), "extracted"), ["url", "path"])
     first = lambda c: F.get(F.col(c), F.lit(0))
     joined = lambda *cs: F.nullif(collapsed(F.array_join(F.concat(*map(F.col, cs)), " ")), F.lit(""))
     out = {"title": collapsed(F.coalesce(first("__title"), F.col("url"))), "description": collapsed(first("__description")), "body": joined("__body", *[f"__e{i}" for i in range(len(config.body_extra))])}
@@ -43,30 +46,52 @@ def pages_to_documents(pages: DataFrame, config: Config) -> tuple[DataFrame, Dat
 
 
 def records_to_documents(records: DataFrame, config: Config) -> DataFrame:
-    """Documents of checked records (id, url, fields, facets, sort, store); ids are numbers in the order of the records' addresses."""
+    """Documents of sound records (id, url, data), numbered by line where they know their place, else by address."""
     part = {"facet": "facets", "store": "store", "sort": "sort"}
-    out = [collapsed(F.col("fields")["title"]).alias("title"), collapsed(F.col("fields")["body"]).alias("body"), F.lit(None).cast("string").alias("description")]
-    out += [collapsed(F.col("fields")[n]).alias(n) for n in config.column_sources]
+    text = lambda n: collapsed(value_at(f"$.fields.{n}")).alias(n)
+    out = [text("title"), text("body"), F.lit(None).cast("string").alias("description"), *map(text, config.column_sources)]
     for name, f in config.fields.items():
-        value = F.col(part[f.role])[name]
-        many = F.coalesce(F.from_json(value, "array<string>"), F.array(value))
-        out.append((F.array_sort(F.array_distinct(F.filter(F.transform(many, collapsed), lambda v: v != ""))) if f.type == "string_array" else coerce(value, f.type)).alias(name))
-    numbered = dense_ids(records.withColumnRenamed("id", "record_id"), ["url"])
-    return composed(numbered.select("id", "record_id", "url", *out).withColumn("title", F.coalesce("title", "url")), ["title", "body", *config.column_sources])
+        path = f"$.{part[f.role]}.{name}"
+        if f.type == "string_array":
+            many = F.coalesce(value_at(path, "array<string>"), F.array(value_at(path)))
+            out.append(F.filter(F.transform(many, collapsed), lambda v: v != "").alias(name))
+        elif f.type == "json":
+            # as it stands, with its keys in their order; a text keeps its quotes
+            out.append(F.when(kind_at(path) == "string", F.to_json(value_at(path, "variant"))).when(kind_at(path) != "null", F.get_json_object("raw", path)).alias(name))
+        else:
+            out.append(coerce(value_at(path), f.type).alias(name))
+    place = [c for c in ("file", "block", "row") if c in records.columns]
+    numbered = dense_ids(records.withColumnRenamed("id", "record_id"), place or ["url"])
+    docs = numbered.select("id", "record_id", "url", *out).withColumn("title", F.coalesce(F.nullif("title", F.lit("")), "url"))
+    docs = composed(docs, ["title", "body", *config.column_sources, *(n for n, f in config.fields.items() if f.type in ("string", "string_array"))])
+    # forms that were two may be one now
+    return docs.withColumns({n: F.array_sort(F.array_distinct(n)) for n, f in config.fields.items() if f.type == "string_array"})
+
 
+def compile_site(spark: SparkSession, root: str, config: Config, path: str, metrics: dict | None = None) -> Index:
+    """The written index of a directory of pages or a file of records; a fatal problem is an error that names its first page.
 
-def compile_site(spark: SparkSession, root: str, config: Config, path: str) -> Index:
-    """The written index of a directory of pages or a file of records; a fatal problem is an error that names its first page."""
+    Other problems are warnings: how often each was met and the first pages,
+    in the table ``warnings`` of the index. ``metrics`` receives what ``build``
+    measures and the warnings.
+    """
     if config.input == "records":
-        docs = records_to_documents(require_sound(checked_records(read_records(spark, root), _declared(config))), config)
+        records = require_sound(checked_records(read_records(spark, root), _declared(config), config.fields, config.required), root)
+        docs, problems = records_to_documents(records, config), None
     else:
         docs, problems = pages_to_documents(discovered(spark, root, config.base_url, list(config.include), list(config.exclude)), config)
         if bad := problems.where("fatal").orderBy("id").limit(1).collect():
             raise BuildError(bad[0].code, f"field {bad[0].field} of {bad[0].path}")
-    index = build(docs, config.columns, path, config.positions)
-    variants = term_variants(index.vocabulary, config.synonyms, config.suppressions)
-    variants.write.mode("overwrite").parquet(f"{path}/variants")
-    index.variants = spark.read.parquet(f"{path}/variants")
+
+    def finish(vocabulary: DataFrame) -> dict[str, DataFrame]:
+        made = {"variants": term_variants(vocabulary, config.synonyms, config.suppressions, config.variant_generation)}
+        if problems is not None:
+            made["warnings"] = profile.warnings(problems.where("NOT fatal"), ["code", "field"], F.col("path"), F.col("id"))
+        return made
+
+    index = build(docs, config.columns, path, config.positions, metrics=metrics, finish=finish)
+    if metrics is not None and problems is not None:
+        metrics["warnings"] = [r.asDict() for r in spark.read.parquet(f"{path}/warnings").orderBy("code", "field").collect()]  # a row for each code and field
     return index
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -12,16 +15,18 @@ from pyspark.sql import functions as F
 from shelfmark.errors import BuildError
 from shelfmark.functions.text import composed, tokens
 
-VERSION = 1
+VERSION = 2
 
 
 @dataclass
 class Index:
     """Tables of an index and what a planner must know of it.
 
-    ``documents`` (id, stored columns), ``postings`` (term, id, col, positions),
+    ``documents`` (id, stored columns), ``postings`` (term, id, col, positions,
+    n: the document's length, lead: the document's first posting of the term),
     ``lengths`` (id, n), ``vocabulary`` (term, doc, cnt); ``columns`` are the
-    search columns with their weights, in the order of their numbers.
+    search columns with their weights, in the order of their numbers; ``size``
+    is the number of documents and of their terms, where it is known.
     """
 
     documents: DataFrame
@@ -31,33 +36,55 @@ class Index:
     columns: dict[str, float]
     positions: bool = True
     variants: DataFrame | None = None
+    size: tuple[int, int] | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.documents.sparkSession
 
+    def totals(self) -> tuple[int, int]:
+        """Documents and terms: from the manifest, or counted once."""
+        if self.size is None:
+            got = self.lengths.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()  # one row
+            self.size = (got.docs, got.terms)
+        return self.size
+
 
 def runs_with_positions(words: Column) -> Column:
-    """Each distinct word of an array with the list of its places, within the row: pairs are sorted and cut into runs."""
-    pairs = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+    """Each distinct (term, col) of an array of (term, col, at) with the list of its places, within the row: the array is sorted and cut into runs. ``lead`` marks the first run of a term."""
+    pairs = F.array_sort(words)
 
     def cut(sorted_: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), lambda i: (i == 0) | (F.get(sorted_, i)["term"] != F.get(sorted_, i - 1)["term"]))
+        differs = lambda i: (F.get(sorted_, i)["term"] != F.get(sorted_, i - 1)["term"]) | (F.get(sorted_, i)["col"] != F.get(sorted_, i - 1)["col"])
+        starts = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), lambda i: (i == 0) | differs(i))
         return F.element_at(F.transform(F.array(starts), lambda s: take(sorted_, s)), 1)
 
     def take(sorted_: Column, starts: Column) -> Column:
         end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(sorted_))
-        return F.transform(starts, lambda p, k: F.struct(F.get(sorted_, p)["term"].alias("term"), F.transform(F.slice(sorted_, p + 1, end(k) - p), lambda x: x["at"]).alias("positions")))
+        lead = lambda p: (p == 0) | (F.get(sorted_, p)["term"] != F.get(sorted_, p - 1)["term"])
+        return F.transform(
+            starts,
+            lambda p, k: F.struct(F.get(sorted_, p)["term"].alias("term"), F.get(sorted_, p)["col"].alias("col"), F.transform(F.slice(sorted_, p + 1, end(k) - p), lambda x: x["at"]).alias("positions"), lead(p).alias("lead")),
+        )
 
     return F.when(F.size(words) > 0, F.element_at(F.transform(F.array(pairs), cut), 1))
 
 
+def words_of(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, words, n): all terms of a document as (term, col, at), and how many they are."""
+    placed = lambda k: lambda w, i: F.struct(w.alias("term"), F.lit(k).alias("col"), i.alias("at"))
+    each = [F.transform(tokens(F.col(c)), placed(k)) for k, c in enumerate(columns)]
+    none = F.array().cast("array<struct<term:string,col:int,at:int>>")
+    return docs.select("id", F.concat(*[F.coalesce(e, none) for e in each]).alias("words")).withColumn("n", F.size("words").cast("long"))
+
+
+def postings_from(words: DataFrame) -> DataFrame:
+    return words.select("id", "n", F.explode(runs_with_positions(F.col("words"))).alias("p")).select("p.term", "id", "p.col", "p.positions", "n", "p.lead")
+
+
 def postings_of(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """(term, id, col, positions): one row for each term of each search column of each document. No shuffle: a document's postings are made where it is read."""
-    words = docs.select("id", *[tokens(F.col(c)).alias(c) for c in columns])
-    each = F.array(*[F.struct(F.lit(k).alias("col"), F.col(c).alias("words")) for k, c in enumerate(columns)])
-    rows = words.select("id", F.explode(each).alias("x")).where("size(x.words) > 0").select("id", "x.col", "x.words")
-    return rows.select("id", "col", F.explode(runs_with_positions(F.col("words"))).alias("p")).select("p.term", "id", "col", "p.positions")
+    """(term, id, col, positions, n, lead): one row for each term of each search column of each document. No shuffle: a document's postings are made where it is read."""
+    return postings_from(words_of(docs, columns))
 
 
 def lengths_of(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,56 +93,101 @@ def lengths_of(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def vocabulary_of(postings: DataFrame) -> DataFrame:
-    """(term, doc, cnt): documents and occurrences of each term. Columns of one document are brought together first, so that documents count once."""
-    per_document = postings.groupBy("term", "id").agg(F.sum(F.size("positions")).alias("n"))
-    return per_document.groupBy("term").agg(F.count("*").alias("doc"), F.sum("n").alias("cnt"))
+    """(term, doc, cnt): documents and occurrences of each term, added up before anything is shuffled; documents count by the first posting that they have of a term."""
+    return postings.groupBy("term").agg(F.count_if("lead").alias("doc"), F.sum(F.size("positions")).alias("cnt"))
 
 
-def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, positions: bool = True, variants: DataFrame | None = None, partitions: int | None = None) -> Index:
+def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, positions: bool = True, variants: DataFrame | None = None, partitions: int | None = None, metrics: dict | None = None, finish: Callable[[DataFrame], dict[str, DataFrame]] | None = None) -> Index:
     """The index of ``docs`` (id, search columns, stored columns).
 
-    With ``path`` the tables are written, postings and vocabulary in ranges of
-    terms, so that a term or prefix is read from few row groups; else they are
-    plans over ``docs``. Null texts hold no terms. Ids must be unique.
+    With ``path`` the tables are written: documents in ranges of ids, so that a
+    page of hits is read from few row groups, postings and vocabulary in ranges
+    of terms, so that a term or prefix is. Else they are plans over ``docs``.
+    Null texts hold no terms. Ids must be unique.
+
+    Tables are made in a folder beside ``path`` and put in its place when the
+    last of them, the manifest, is written: a build that fails leaves the former
+    index as it was. ``metrics`` receives the seconds of each phase and counts;
+    ``finish`` makes further tables of the index from its vocabulary.
     """
     names = list(columns)
     docs = composed(docs, names)
-    postings = postings_of(docs, names)
-    if not positions:
-        postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))
     if path is None:
-        counted = postings_of(docs, names)
-        return Index(docs, postings, lengths_of(docs, names), vocabulary_of(counted), dict(columns), positions, variants)
-    spark = docs.sparkSession
-    docs.write.mode("overwrite").parquet(f"{path}/documents")
-    docs = spark.read.parquet(f"{path}/documents")
-    # ranges are found by a pass of their own, which reads finished postings and makes none
-    postings_of(docs, names).write.mode("overwrite").parquet(f"{path}/unordered")
-    ranged = spark.read.parquet(f"{path}/unordered")
-    ranged = ranged.repartitionByRange(partitions, "term") if partitions else ranged.repartitionByRange("term")
-    ranged.sortWithinPartitions("term", "id", "col").write.mode("overwrite").parquet(f"{path}/postings")
-    _remove(spark, f"{path}/unordered")
-    lengths_of(docs, names).write.mode("overwrite").parquet(f"{path}/lengths")
-    vocabulary_of(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
-    if variants is not None:
-        variants.write.mode("overwrite").parquet(f"{path}/variants")
-    write_manifest(spark, path, columns, positions, variants is not None)
+        postings = postings_of(docs, names)
+        if not positions:
+            postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))
+        return Index(docs, postings, lengths_of(docs, names), vocabulary_of(postings_of(docs, names)), dict(columns), positions, variants)
+    spark, took, start = docs.sparkSession, {}, time.perf_counter()
+
+    def phase(name: str) -> None:
+        nonlocal start
+        took[name], start = round(time.perf_counter() - start, 3), time.perf_counter()
+
+    at = f"{path.rstrip('/')}.building-{uuid.uuid4().hex[:8]}"
+    ranges = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    docs.repartitionByRange(ranges, "id").sortWithinPartitions("id").write.parquet(f"{at}/documents")
+    docs = spark.read.parquet(f"{at}/documents")
+    phase("documents")
+    words_of(docs, names).write.option("compression", "zstd").parquet(f"{at}/words")
+    words = spark.read.parquet(f"{at}/words")
+    words.select("id", "n").write.parquet(f"{at}/lengths")
+    phase("words")
+    # ranges are found by a pass of their own, which reads finished postings and makes none; the id splits terms that most documents hold
+    postings_from(words).write.option("compression", "zstd").parquet(f"{at}/unordered")
+    unordered = spark.read.parquet(f"{at}/unordered")
+    unordered.repartitionByRange(ranges, "term", "id").sortWithinPartitions("term", "id", "col").write.parquet(f"{at}/postings")
+    phase("postings")
+    vocabulary_of(unordered).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/vocabulary")
+    _remove(spark, f"{at}/unordered")
+    _remove(spark, f"{at}/words")
+    phase("vocabulary")
+    more = {"variants": variants} if variants is not None else {}
+    more |= finish(spark.read.parquet(f"{at}/vocabulary")) if finish else {}
+    for name, table in more.items():
+        table.write.parquet(f"{at}/{name}")
+    phase("further tables")
+    total = spark.read.parquet(f"{at}/lengths").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()  # one row
+    write_manifest(spark, at, columns, positions, "variants" in more, (total.docs, total.terms))
+    _replace(spark, at, path)
+    phase("manifest")
+    if metrics is not None:
+        metrics |= {"seconds": took, "documents": total.docs, "terms": total.terms, "documents_per_second": round(total.docs / max(1e-9, sum(took.values())), 1)}
     return open_index(spark, path)
 
 
-def write_manifest(spark: SparkSession, path: str, columns: dict[str, float], positions: bool = True, variants: bool = False) -> None:
-    text = json.dumps({"version": VERSION, "columns": list(columns.items()), "positions": positions, "variants": variants}, sort_keys=True)
+def write_manifest(spark: SparkSession, path: str, columns: dict[str, float], positions: bool = True, variants: bool = False, size: tuple[int, int] | None = None) -> None:
+    text = json.dumps({"version": VERSION, "columns": list(columns.items()), "positions": positions, "variants": variants, "size": size}, sort_keys=True)
     spark.createDataFrame([(text,)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def found(spark: SparkSession, pattern: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
+    place, files = _place(spark, pattern)
+    return bool(files.globStatus(place))
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def _replace(spark: SparkSession, made: str, path: str) -> None:
+    """Puts a finished folder in the place of another, which is removed last."""
+    new, files = _place(spark, made)
+    place, _ = _place(spark, path)
+    former, _ = _place(spark, f"{made}-former")
+    files.mkdirs(place.getParent())
+    had = files.exists(place)
+    if had and not files.rename(place, former):
+        raise BuildError("INDEX_WRITE", f"cannot move the former index at {path}")
+    if not files.rename(new, place):
+        raise BuildError("INDEX_WRITE", f"cannot put the new index at {path}")
+    if had:
+        files.delete(former, True)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
@@ -131,7 +203,8 @@ def open_index(spark: SparkSession, path: str) -> Index:
     vocabulary = vocabulary_of(postings) if added else table("vocabulary")
     if not manifest["positions"]:
         postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))
-    return Index(table("documents"), postings, table("lengths"), vocabulary, dict(manifest["columns"]), manifest["positions"], spark.read.parquet(f"{path}/variants") if manifest["variants"] else None)
+    size = tuple(manifest["size"]) if manifest.get("size") and not added else None
+    return Index(table("documents"), postings, table("lengths"), vocabulary, dict(manifest["columns"]), manifest["positions"], spark.read.parquet(f"{path}/variants") if manifest["variants"] else None, size)
 
 
 def size_of(path: str) -> int:

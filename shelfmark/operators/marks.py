@@ -1,4 +1,4 @@
-"""Where a text holds the forms of a query: spans in its own offsets."""
+"""Where a text holds the forms of a query: spans in offsets of UTF-16 units, as browsers count."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ Forms = list[tuple[tuple[str, ...], bool]]
 
 
 def marks(text: str | None, forms: Forms) -> list[tuple[int, int]]:
-    """(start, length) of each marked part, in order, overlapping and touching ones as one. A word that only begins with the typed part is marked that far."""
+    """(start, length) of each marked part in UTF-16 units, in order, overlapping and touching ones as one. A word that only begins with the typed part is marked that far."""
     if not text:
         return []
     words, found = word_spans(text), []
@@ -32,7 +32,8 @@ def marks(text: str | None, forms: Forms) -> list[tuple[int, int]]:
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end])
-    return [(a, b - a) for a, b in out]
+    units = (lambda i: i) if not text or max(text) < "\U00010000" else (lambda i: i + sum(c >= "\U00010000" for c in text[:i]))
+    return [(units(a), units(b) - units(a)) for a, b in out]
 
 
 def marked(column: Column, forms: Forms) -> Column:

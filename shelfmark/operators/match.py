@@ -114,7 +114,7 @@ class Matcher:
         self.items = list(dict.fromkeys(i for t in self.trees for i in _items(t)))
 
     def documents(self) -> DataFrame:
-        """(id, a0, a1, ...): the places of each atom in each document, sorted.
+        """(id, n, a0, a1, ...): the document's length and the places of each atom in it, sorted.
 
         One scan with the words and prefixes as pushed filters, one exchange on
         the id. A word held by a large share of all documents is aggregated where
@@ -130,7 +130,7 @@ class Matcher:
         places = F.transform(F.coalesce("positions", F.array(F.lit(0))), lambda p: p + shift)
         holds = lambda a: F.col("term").startswith(a[0]) if a[1] else F.col("term") == a[0]
         gathered = [F.sort_array(F.flatten(F.collect_list(F.when(holds(a), places)))).alias(f"a{k}") for a, k in self.atoms.items()]
-        return rows.groupBy("id").agg(*gathered)
+        return rows.groupBy("id").agg(F.max("n").alias("n"), *gathered)
 
     # --- places -----------------------------------------------------------------
 
@@ -167,9 +167,9 @@ class Matcher:
         return list(dict.fromkeys(x for i in self.items for x in (i.leaves if isinstance(i, Close) else (i,))))
 
     def measured(self) -> DataFrame:
-        """(id, s*, c*_*): places of every leaf, and those of leaves within clumps."""
+        """(id, n, s*, c*_*): places of every leaf, and those of leaves within clumps."""
         rows = self.documents()
-        rows = rows.select("id", *[self.starts(leaf).alias(f"s{k}") for k, leaf in enumerate(self.leaves)])
+        rows = rows.select("id", "n", *[self.starts(leaf).alias(f"s{k}") for k, leaf in enumerate(self.leaves)])
         for c, close in enumerate(self.closes):
             for k, places in enumerate(self._clumps(close)):
                 rows = rows.withColumn(f"c{c}_{k}", places)
@@ -202,6 +202,10 @@ class Matcher:
         parts = tree.parts[:1] if tree.kind == "not" else tree.parts
         return [x for p in parts for x in self.phrases(p)]
 
+    def plain(self) -> dict[str, str]:
+        """The leaves that are one whole word in any column, by the names of their places: the vocabulary knows how many documents hold them."""
+        return {f"s{self._name(leaf)}": leaf.atoms[0][0] for leaf in self.leaves if len(leaf.atoms) == 1 and not leaf.atoms[0][1] and leaf.columns is None}
+
     def weighted(self, places: Column) -> Column:
         weights = list(self.index.columns.values())
         if len(set(weights)) == 1:

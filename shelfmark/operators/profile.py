@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfmark.functions.text import tokens
 
@@ -39,10 +40,17 @@ def alike_columns(df: DataFrame, columns: list[str], share: float = 0.9) -> Data
 
 
 def warnings(events: DataFrame, keys: list[str], path: Column, order: Column, samples: int = 3) -> DataFrame:
-    """(keys, n, paths): warnings of a kind counted, with the first paths in order. Only the least few are kept for each kind, wherever they arise."""
+    """(keys, n, paths): warnings of a kind counted, with the first paths in order.
+
+    Only the least few of a kind are kept, in each task before anything is
+    shuffled, so a kind of any size takes no more room than another.
+    """
     ranked = events.select(*keys, order.alias("ord"), path.alias("path"))
-    counted = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.collect_list(F.struct("ord", "path")).alias("all"))
-    return counted.select(*keys, "n", F.transform(F.slice(F.array_sort("all"), 1, samples), lambda x: x["path"]).alias("paths"))
+    least = ranked.withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("ord", "path"))).where(F.col("at") <= samples)
+    counted = ranked.groupBy(*keys).agg(F.count("*").alias("n"))
+    both = least.select(*keys, F.lit(0).cast("long").alias("n"), F.struct("at", "path").alias("x")).unionByName(counted.withColumn("x", F.lit(None).cast("struct<at:int,path:string>")))
+    gathered = both.groupBy(*keys).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("x")).alias("x"))
+    return gathered.select(*keys, "n", F.transform("x", lambda x: x["path"]).alias("paths"))
 
 
 def ngrams(docs: DataFrame, key: str, text: str, size: int = 2, valid: str = r"^[a-z]{3,}$") -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfmark.operators.boosts import product
 from shelfmark.operators.facets import facet_counts
@@ -17,6 +18,7 @@ from shelfmark.operators.widen import corrections_of, fuzzy_of, variants_of
 from shelfmark.plans.syntax import Identifier, Node, Not, Phrase, Term, leaves, parse, proximity, spellings
 
 NOCASE = {"title", "description"}
+FETCHED = 1_000  # hits of a page whose ids are sent to the scan of documents
 
 
 @dataclass
@@ -85,23 +87,35 @@ class Searcher:
         if not ranked:
             return rows.where(wide).select("id", band.alias("band"), near.alias("proximity"), F.lit(0.0).alias("score"))
         if not self.index.positions:
-            return rows.where(wide).select("id", band.alias("band"), near.alias("proximity"), self._unplaced(matcher, plan, rows).alias("score"))
+            names = [f"s{matcher._name(i)}" for i in dict.fromkeys(_positive(plan.wide)) if isinstance(i, Leaf)]
+            rows, held = self._holding(matcher, rows, names)
+            return rows.where(wide).select("id", band.alias("band"), near.alias("proximity"), self._unplaced(names, held).alias("score"))
         names = sorted({n for t in (plan.variant, plan.wide) for _, n in matcher.phrases(t)})
-        # one row: documents and their mean length, and how many hold each phrase
-        size = self.index.lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
-        held = rows.agg(*[F.count(F.when(F.size(n) > 0, 1)).alias(n) for n in names]).first()
-        idf = {n: idf_of(size.docs, held[n]) for n in names}
-        norm = F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.col("n") / F.lit(float(size.mean or 1)))
-        with_length = rows.where(wide).join(self.index.lengths, "id")
+        rows, held = self._holding(matcher, rows, names)
+        docs, terms = self.index.totals()
+        idf = {n: idf_of(docs, held[n]) for n in names}
+        norm = F.lit(1.2) * (F.lit(0.25) + F.lit(0.75) * F.col("n") / F.lit(terms / docs if terms else 1.0))
         score = F.when(variant, matcher.score(plan.variant, idf, norm)).otherwise(matcher.score(plan.wide, idf, norm))
-        return with_length.select("id", band.alias("band"), near.alias("proximity"), score.alias("score"))
+        return rows.where(wide).select("id", band.alias("band"), near.alias("proximity"), score.alias("score"))
 
-    def _unplaced(self, matcher: Matcher, plan: Plan, rows: DataFrame):
+    def _holding(self, matcher: Matcher, rows: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, int]]:
+        """The measured rows, and how many documents hold each leaf.
+
+        The vocabulary knows whole words. Other leaves are counted over the
+        rows, which are then kept in executors' memory until ``release``, so
+        that the postings are evaluated once.
+        """
+        plain = {n: w for n, w in matcher.plain().items() if n in names}
+        docs = {r.term: r.doc for r in self.index.vocabulary.where(F.col("term").isin(list(plain.values()))).collect()} if plain else {}  # a row for each word
+        held = {n: docs.get(w, 0) for n, w in plain.items()}
+        if others := [n for n in names if n not in held]:
+            rows = self._keep(rows)
+            held |= rows.agg(*[F.count(F.when(F.size(n) > 0, 1)).alias(n) for n in others]).first().asDict()  # one row
+        return rows, held
+
+    def _unplaced(self, names: list[str], held: dict[str, int]):
         """Without positions: the idf of each word times the weights of the columns that hold it."""
-        items = [i for i in dict.fromkeys(_positive(plan.wide)) if isinstance(i, Leaf)]
-        total = self.index.documents.count()
-        names = [f"s{matcher._name(i)}" for i in items]
-        held = rows.agg(*[F.count(F.when(F.size(n) > 0, 1)).alias(n) for n in names]).first()
+        total, _ = self.index.totals()
         score = F.lit(0.0)
         for name in names:
             for k, weight in enumerate(self.index.columns.values()):
@@ -109,6 +123,11 @@ class Searcher:
                     score = score + F.when(_in_column(name, k), idf_of(total, held[name]) * float(weight)).otherwise(0.0)
         return -score
 
+    def _keep(self, rows: DataFrame) -> DataFrame:
+        rows = rows.persist()
+        self._held = [*getattr(self, "_held", []), rows]
+        return rows
+
     # --- answers ----------------------------------------------------------------
 
     def rows(self, request: Request) -> tuple[DataFrame, Plan | None]:
@@ -134,18 +153,32 @@ class Searcher:
         rows, _ = self.rows(request)
         return facet_counts(rows, self.fields, request.facets, request.filters)
 
-    def hits(self, request: Request) -> DataFrame:
-        """The page of hits with ``place``, its order from 0. Past the end the page is empty; negative limits and offsets are zero."""
+    def page(self, request: Request) -> DataFrame:
+        """(id, place, band, proximity, score) of a page of hits; ``place`` is the place in the whole order, from 0."""
         rows, plan = self.rows(request)
         rows = rows.where(together(conditions(self.fields, request.filters)))
         order = self._order(request, plan)
         limit, offset = max(0, request.limit), max(0, request.offset)
-        # the narrow columns of the order decide; wide rows are fetched for the page alone
+        # narrow columns decide, and only the first offset + limit of them are numbered
         keys = [c.alias(f"__k{i}") for i, (c, _) in enumerate(order)]
-        narrow = rows.select("id", "band", "proximity", "score", *keys)
         by = [F.col(f"__k{i}").desc() if down else F.col(f"__k{i}").asc() for i, (_, down) in enumerate(order)]
-        page = narrow.orderBy(*by).limit(offset + limit).offset(offset) if limit else narrow.limit(0)
-        return self.index.documents.join(page.drop(*[f"__k{i}" for i in range(len(order))]), "id")
+        first = rows.select("id", "band", "proximity", "score", *keys).orderBy(*by).limit(offset + limit if limit else 0)
+        placed = first.withColumn("place", F.row_number().over(Window.orderBy(*by)) - 1).where(F.col("place") >= offset)
+        return placed.select("id", "place", "band", "proximity", "score")
+
+    def hits(self, request: Request, ready: bool = True) -> DataFrame:
+        """The page of hits with ``place``, in its order. Past the end the page is empty; negative limits and offsets are zero.
+
+        A page of up to FETCHED hits is found first; its ids are then a filter
+        of the scan of documents, which lie in ranges of ids. Larger pages, and
+        those that are not to be found yet (``ready`` false), are joined.
+        """
+        page, docs = self.page(request), self.index.documents
+        if ready and 0 < request.limit <= FETCHED:
+            found = page.collect()  # at most FETCHED narrow rows
+            page = docs.sparkSession.createDataFrame(found, page.schema)
+            docs = docs.where(F.col("id").isin([r.id for r in found]) if found else F.lit(False))
+        return docs.join(page.select("id", "band", "proximity", "score", "place"), "id").orderBy("place")
 
     def answer(self, request: Request) -> dict[str, DataFrame]:
         """Total, facets and hits of one request over one stored evaluation of its matches.
@@ -154,21 +187,19 @@ class Searcher:
         the answer; a lost part is computed again.
         """
         plan = self.plan(request.query, request.fuzzy, request.typing)
-        matches = None if plan is None else self.matches(plan, ranked=request.sort is None).persist()
+        matches = None if plan is None else self._keep(self.matches(plan, ranked=request.sort is None))
         once = Searcher(self.index, self.fields, self.boosts)
         once.plan = lambda *_, **__: plan
         once.matches = lambda *_, **__: matches
-        parts = {"total": once.total(request), "hits": once.hits(request)}
+        parts = {"total": once.total(request), "hits": once.hits(request, ready=False)}
         if request.facets:
             parts["facets"] = once.facets(request)
-        self._held = [*getattr(self, "_held", []), matches]
         return parts
 
     def release(self) -> None:
         """Frees what answers have kept."""
         for frame in getattr(self, "_held", []):
-            if frame is not None:
-                frame.unpersist()
+            frame.unpersist()
         self._held = []
 
     def _order(self, request: Request, plan: Plan | None):

@@ -30,10 +30,12 @@ def _pairs(spark: SparkSession, groups: list[list[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "term string, other string")
 
 
-def term_variants(vocabulary: DataFrame, synonyms: list[list[str]] = (), suppressed: list[list[str]] = ()) -> DataFrame:
+def term_variants(vocabulary: DataFrame, synonyms: list[list[str]] = (), suppressed: list[list[str]] = (), generated: bool = True) -> DataFrame:
     """(term, variants): for each word of the vocabulary its other forms, sorted; words without any have no row.
 
-    Only distinct words are stemmed. Words of one stem meet by a group-by on
+    Declared synonyms stand whether or not any document holds them: a word that
+    no page uses still leads to those it stands for. Without ``generated`` they
+    are the only forms. Only distinct words are stemmed. Words of one stem meet by a group-by on
     the stem, and each pair is a row before suppressed pairs are taken away.
     """
     spark = vocabulary.sparkSession
@@ -45,9 +47,7 @@ def term_variants(vocabulary: DataFrame, synonyms: list[list[str]] = (), suppres
     words = vocabulary.select("term", stems("term").alias("stem"))
     groups = words.groupBy("stem").agg(F.collect_set("term").alias("terms")).where("size(terms) > 1")
     pairs = groups.select(F.explode("terms").alias("term"), "terms").select("term", F.explode("terms").alias("other")).where("term <> other")
-    known = vocabulary.select("term")
     declared = _pairs(spark, declared_groups(list(synonyms), "synonym"))
-    declared = declared.join(known, "term", "left_semi").join(known.select(F.col("term").alias("other")), "other", "left_semi").select("term", "other")
-    pairs = pairs.unionByName(declared).distinct()
+    pairs = pairs.unionByName(declared).distinct() if generated else declared.distinct()
     gone = _pairs(spark, declared_groups(list(suppressed), "suppression"))
     return pairs.join(gone, ["term", "other"], "left_anti").groupBy("term").agg(F.array_sort(F.collect_set("other")).alias("variants"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shelfmark.functions.distance import distance_to, near_words
 from shelfmark.functions.text import fold_word
@@ -52,9 +51,8 @@ def correction_suggestions(vocabulary: DataFrame, word: str, limit: int = 10) ->
     """(term, doc, distance): the nearest words, those far rarer than the most frequent of them left out; nearest, then most frequent first."""
     most = 1 if len(word) <= 4 else 2
     found = candidates(vocabulary, word, most, stem=0 if len(word) >= 4 else 1)
-    # few words are candidates, so one window over them is small
-    found = found.withColumn("top", F.max("doc").over(Window.partitionBy(F.lit(1))))
-    return found.where(F.col("doc") >= F.col("top") * DOMINANCE).drop("top").orderBy("distance", F.desc("doc"), "term").limit(limit)
+    top = found.select(F.max("doc")).scalar()
+    return found.where(F.col("doc") >= top * DOMINANCE).orderBy("distance", F.desc("doc"), "term").limit(limit)
 
 
 def completion_suggestions(vocabulary: DataFrame, prefix: str, limit: int = 10) -> DataFrame:

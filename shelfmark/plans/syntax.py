@@ -11,9 +11,9 @@ import re
 import unicodedata as ud
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import chain, groupby
 
 WORD = re.compile(r"[^\W_]+")
-RUN = re.compile(r"[^\W\d_]+|[^\W_a-zA-Z]+")
 ITEM = re.compile(r'(?P<open>\()|(?P<close>\))|(?P<comma>,)|"(?P<quoted>[^"]*)"|(?P<broken>")|(?P<minus>(?<![^\s(])-)|(?P<word>[^\s(),"]+)')
 SCOPE = re.compile(r"([A-Za-z_]\w*):", re.ASCII)
 DISTANCE = 10
@@ -105,58 +105,36 @@ def leaves(node: Node) -> Iterator[Node]:
 # --- catalogue numbers --------------------------------------------------------
 
 
-def _mixed(text: str) -> bool:
-    return bool(re.search("[A-Za-z]", text) and re.search(r"[0-9]", text))
+# Classes of typed words, one letter each: x holds letters and digits, d is a number, s a short or capital word, o such a word
+# beyond ASCII, X a joined word of letters and digits, w any other. A number may follow its letters after a space: "G 7510".
+CATALOGUE = re.compile(r"[so](?=s*[dx])[sdx]+|[xX]")
 
 
-def _short(word: str) -> bool:
-    return len(word) <= 3 or word == word.upper()
+def _class_of(parts: tuple[str, ...]) -> str:
+    joined = "".join(parts)
+    letters, digits = bool(re.search("[A-Za-z]", joined)), bool(re.search("[0-9]", joined))
+    plain = len(parts) == 1 and joined.isascii()
+    if letters and digits:
+        return "x" if plain else "X"
+    if len(parts) == 1 and letters and (joined.isupper() or len(joined) < 4):
+        return "s" if plain else "o"
+    return "d" if plain and digits else "w"
 
 
 def runs(parts: tuple[str, ...]) -> tuple[str, ...]:
     """Runs of letters and runs of numbers, apart."""
-    return tuple(r for p in parts for r in _runs(p))
-
-
-def _runs(word: str) -> list[str]:
-    out: list[str] = []
-    for char in word:
-        same = out and out[-1][-1].isalpha() == char.isalpha()
-        out[-1:] = [out[-1] + char] if same else [*out[-1:], char]
-    return out
+    return tuple("".join(g) for p in parts for _, g in groupby(p, str.isalpha))
 
 
 def read_words(words: list[str]) -> list[Node]:
     """Bare words as terms, with catalogue numbers recognised in one word (``G7510``) or across several (``G 7510``)."""
-    held = [tuple(WORD.findall(w)) for w in words]
-    held = [h for h in held if h]
-    out: list[Node] = []
-    at = 0
-    while at < len(held):
-        parts, size = held[at], 1
-        if _mixed("".join(parts)):
-            out.append(Identifier(parts))
-        elif len(parts) == 1 and re.search("[A-Za-z]", parts[0]) and _short(parts[0]):
-            spelled = list(parts)
-            while at + size < len(held) and _continues(held[at + size]):
-                spelled += held[at + size]
-                size += 1
-            if size > 1 and _mixed("".join(spelled)):
-                out.append(Identifier(tuple(spelled)))
-            else:
-                size = 1
-                out.append(Term(parts[0]))
-        else:
-            out += map(Term, parts)
-        at += size
-    return out
-
-
-def _continues(parts: tuple[str, ...]) -> bool:
-    word = parts[0]
-    if len(parts) > 1 or not word.isascii():
-        return False
-    return word.isdigit() or _mixed(word) or word.isalpha() and _short(word)
+    held = [parts for w in words if (parts := tuple(WORD.findall(w)))]
+    classes, out, done = "".join(map(_class_of, held)), [], 0
+    for found in CATALOGUE.finditer(classes):
+        out += [Term(p) for parts in held[done : found.start()] for p in parts]
+        out.append(Identifier(tuple(chain(*held[found.start() : found.end()]))))
+        done = found.end()
+    return out + [Term(p) for parts in held[done:] for p in parts]
 
 
 # --- reading ------------------------------------------------------------------
@@ -398,18 +376,21 @@ def emit(node: Node, widen: Lookup | None = None, correct: Lookup | None = None,
     return show(node, correct)
 
 
+def _bare(node: Node) -> tuple[Term, ...]:
+    """The words that a part of a conjunction puts in a row: a term, or the parts of a catalogue number, of which the last may go on."""
+    match node:
+        case Term(value, prefix):
+            return (Term(value, prefix, False),)
+        case Identifier((*first, last), prefix):
+            return (*(Term(p, False, False) for p in first), Term(last, prefix, False))
+    return ()
+
+
 def proximity(node: Node) -> tuple[Phrase, Near] | None:
-    """The bare words of a conjunction as a phrase, and near each other; None for fewer than two or another root."""
-    while isinstance(node, Not):
-        node = node.left
-    if not isinstance(node, And):
-        return None
-    words: list[Term] = []
-    for child in node.operands:
-        if isinstance(child, Term):
-            words.append(Term(child.value, child.prefix, False))
-        elif isinstance(child, Identifier):
-            words += [Term(p, child.prefix and i == len(child.parts) - 1, False) for i, p in enumerate(child.parts)]
-    if len(words) < 2:
-        return None
-    return Phrase(tuple(w.value for w in words)), Near(tuple(words), max(WINDOW, 2 * len(words)) - 2)
+    """The bare words of a conjunction as a phrase, and near each other; None for fewer than two or another root. Exclusions do not count."""
+    match node:
+        case Not(left, _):
+            return proximity(left)
+        case And(operands) if len(words := tuple(chain.from_iterable(map(_bare, operands)))) > 1:
+            return Phrase(tuple(w.value for w in words)), Near(words, max(WINDOW, 2 * len(words)) - 2)
+    return None

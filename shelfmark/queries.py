@@ -6,6 +6,7 @@ pages say. Its index is written once for each session and data folder.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import combinations
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from shelfmark.operators.match import Matcher, compile_tree
 from shelfmark.operators.search import Request, Searcher
 from shelfmark.operators.suggest import suggest
 from shelfmark.operators.variants import term_variants
-from shelfmark.plans.lineage import shared_dir
+from shelfmark.plans.lineage import own_dir
 from shelfmark.plans.ship import ship
 from shelfmark.plans.syntax import emit, parse
 from shelfmark.sources.html import canonical_url, extracted
@@ -98,7 +99,7 @@ _OPEN: dict[tuple[str, str], Index] = {}
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _OPEN:
-        path = f"{shared_dir(spark)}/index-{abs(hash(at))}"
+        path = f"{own_dir(spark)}/index-{abs(hash(at))}"
         build(corpus(spark, sf_dir), COLUMNS, path)
         _OPEN[at] = open_index(spark, path)
     return _OPEN[at]
@@ -106,7 +107,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
 
 def searcher(spark: SparkSession, sf_dir: str, boosts=(), variants: DataFrame | None = None, **changes) -> Searcher:
     index = index_of(spark, sf_dir)
-    index = Index(index.documents, index.postings, index.lengths, index.vocabulary, changes.get("columns", index.columns), changes.get("positions", True), variants)
+    index = replace(index, variants=variants, **changes)
     return Searcher(index, FIELDS, boosts)
 
 
@@ -226,18 +227,26 @@ _AMBER = {"a": "term = 'amber'", "c": "term = 'cellar'"}
 _PROX = f"CASE WHEN {_run('= $$amber$$', '= $$cellar$$')} THEN 0 WHEN {_near('amber', 'cellar', 8)} THEN 1 ELSE 2 END"
 
 
-def _page(found: DataFrame) -> DataFrame:
-    return found.select("id", "band", "proximity", (F.round("score", 6) + 0.0).alias("score"))
+def _page(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("id", "band", "proximity", (F.round("score", 6) + 0.0).alias("score"), *more)
 
 
-@query(f"WITH {TOK_SQL}, {_bm25(_AMBER)} SELECT a.id, 0 AS band, {_PROX} AS proximity, round(-({_part('a')} + {_part('c')}), 6) AS score FROM per a JOIN lens USING (id), idf, size WHERE f_a > 0 AND f_c > 0 ORDER BY 2, 3, -({_part('a')} + {_part('c')}), 1 LIMIT 20")
+def _placed(select: str, order: str, limit: int, offset: int = 0) -> str:
+    """``select`` with its rows numbered from 0 in an order, and one page of them; ``rank`` is not shown."""
+    return f"SELECT * EXCLUDE (rank) FROM (SELECT *, (row_number() OVER (ORDER BY {order}) - 1)::INTEGER AS place FROM ({select})) WHERE place >= {offset} AND place < {offset + limit}"
+
+
+_BOTH = f"SELECT a.id, 0 AS band, {_PROX} AS proximity, round(-({_part('a')} + {_part('c')}), 6) AS score, -({_part('a')} + {_part('c')}) AS rank FROM per a JOIN lens USING (id), idf, size WHERE f_a > 0 AND f_c > 0"
+
+
+@query(f"WITH {TOK_SQL}, {_bm25(_AMBER)} " + _placed(_BOTH, "band, proximity, rank, id", 20))
 def search_bm25_top(spark, sf_dir):
-    return _page(searcher(spark, sf_dir).hits(Request("amber cellar", typing=False)))
+    return _page(searcher(spark, sf_dir).hits(Request("amber cellar", typing=False)), "place")
 
 
-@query(f"WITH {TOK_SQL}, {_bm25(_AMBER, 2.0, 5.0)} SELECT a.id, 0 AS band, {_PROX} AS proximity, round(-({_part('a')} + {_part('c')}), 6) AS score FROM per a JOIN lens USING (id), idf, size WHERE f_a > 0 AND f_c > 0 ORDER BY 2, 3, -({_part('a')} + {_part('c')}), 1 LIMIT 20")
+@query(f"WITH {TOK_SQL}, {_bm25(_AMBER, 2.0, 5.0)} " + _placed(_BOTH, "band, proximity, rank, id", 20))
 def search_weighted_columns(spark, sf_dir):
-    return _page(searcher(spark, sf_dir, columns={"title": 2.0, "body": 5.0}).hits(Request("amber cellar", typing=False)))
+    return _page(searcher(spark, sf_dir, columns={"title": 2.0, "body": 5.0}).hits(Request("amber cellar", typing=False)), "place")
 
 
 @query(f"WITH {TOK_SQL}, {_bm25({'p': 'starts_with(term, $$lime$$)'})} SELECT id, round(-({_part('p')}), 6) AS score FROM per JOIN lens USING (id), idf, size WHERE f_p > 0")
@@ -310,19 +319,19 @@ def flagship(spark, sf_dir):
 
 def _boosted(factor: str) -> str:
     rank = f"-({_part('a')}) * {factor}"
-    return f"WITH {TOK_SQL}, {_bm25({'a': _AMBER['a']})} SELECT k1.id, round(-({_part('a')}), 6) AS score FROM per JOIN lens USING (id) JOIN k1 USING (id), idf, size WHERE f_a > 0 ORDER BY {rank}, k1.id LIMIT 30"
+    return f"WITH {TOK_SQL}, {_bm25({'a': _AMBER['a']})} " + _placed(f"SELECT k1.id, round(-({_part('a')}), 6) AS score, {rank} AS rank FROM per JOIN lens USING (id) JOIN k1 USING (id), idf, size WHERE f_a > 0", "rank, id", 30)
 
 
 @query(_boosted("(CASE lang WHEN 'de' THEN 8.0 WHEN 'fr' THEN 3.0 ELSE 1.0 END)"))
 def search_boost_values(spark, sf_dir):
     s = searcher(spark, sf_dir, (ValueBoost("lang", (("de", 8.0), ("fr", 3.0))),))
-    return _page(s.hits(Request("amber", typing=False, limit=30))).select("id", "score")
+    return _page(s.hits(Request("amber", typing=False, limit=30)), "place").select("id", "score", "place")
 
 
 @query(_boosted("coalesce(1.0 + 2.0 * pow(2.0, -greatest(0, date_diff('day', crawled, DATE '2025-06-30')) / 90.0), 1.0)"))
 def search_boost_recency(spark, sf_dir):
     s = searcher(spark, sf_dir, (RecencyBoost("crawled", "2025-06-30", 3.0, 90.0),))
-    return _page(s.hits(Request("amber", typing=False, limit=30))).select("id", "score")
+    return _page(s.hits(Request("amber", typing=False, limit=30)), "place").select("id", "score", "place")
 
 
 @query(f"WITH {TOK_SQL} SELECT count(DISTINCT id)::BIGINT AS total FROM tok JOIN k1 USING (id) WHERE term = 'amber' AND lang = 'en' AND n_chars >= 500")
@@ -385,19 +394,19 @@ _filter("filter_boolean", {"featured": True}, "featured")
 _filter("filter_empty", {"lang": []}, "false")
 
 
-@query(f"WITH {K1_SQL} SELECT id, title FROM k1 ORDER BY translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ASC NULLS FIRST, id LIMIT 200")
+@query(f"WITH {K1_SQL} " + _placed("SELECT id, title, translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS rank FROM k1", "rank ASC NULLS FIRST, id", 200))
 def sort_title_nocase(spark, sf_dir):
-    return searcher(spark, sf_dir).hits(Request(sort="title", limit=200)).select("id", "title")
+    return searcher(spark, sf_dir).hits(Request(sort="title", limit=200)).select("id", "title", "place")
 
 
-@query(f"WITH {K1_SQL} SELECT id, rating FROM k1 ORDER BY rating DESC NULLS LAST, id LIMIT 100 OFFSET 50")
+@query(f"WITH {K1_SQL} " + _placed("SELECT id, rating, rating AS rank FROM k1", "rank DESC NULLS LAST, id", 100, 50))
 def sort_desc_nulls(spark, sf_dir):
-    return searcher(spark, sf_dir).hits(Request(sort="rating", descending=True, limit=100, offset=50)).select("id", "rating")
+    return searcher(spark, sf_dir).hits(Request(sort="rating", descending=True, limit=100, offset=50)).select("id", "rating", "place")
 
 
-@query(f"WITH {K1_SQL} SELECT id, title, url FROM k1 ORDER BY id LIMIT 20 OFFSET 40")
+@query(f"WITH {K1_SQL} " + _placed("SELECT id, title, url, id AS rank FROM k1", "rank", 20, 40))
 def page_offset(spark, sf_dir):
-    return searcher(spark, sf_dir).hits(Request(limit=20, offset=40)).select("id", "title", "url")
+    return searcher(spark, sf_dir).hits(Request(limit=20, offset=40)).select("id", "title", "url", "place")
 
 
 @query("SELECT true AS buckets_sum_to_total, true AS filter_equals_bucket, true AS own_facet_unfiltered")
@@ -481,7 +490,7 @@ def extract_pages(spark, sf_dir):
 def records_checked(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lines = docs.select(F.to_json(F.struct(F.col("doc_id").alias("id"), F.concat(F.lit("/d/"), F.col("doc_id")).alias("url"), F.struct("title", "body").alias("fields"), F.struct("lang").alias("facets"))).alias("raw"))
-    return checked_records(lines, {"fields": ["title", "body"], "facets": ["lang"]}).agg(F.count("*").alias("n"), F.count("problem").alias("bad"))
+    return checked_records(lines, {"fields": ["title", "body"], "facets": ["lang"]}, Fields(lang=Field("facet"))).agg(F.count("*").alias("n"), F.count("problem").alias("bad"))
 
 
 @query("SELECT row_number() OVER (ORDER BY url, page_id, crawled_at, ingested_at) AS id, url FROM site_pages")

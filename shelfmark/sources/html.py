@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata as ud
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fnmatch import translate
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,10 +18,9 @@ from shelfmark.errors import BuildError
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = "script, style, noscript, template"
-STEP = re.compile(r"(?P<tag>\*|[a-zA-Z][\w-]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>[~^$*|]?=)(?P<q>['\"]?)(?P<val>[^\]'\"]*)(?P=q))?\]")
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     attrs: dict[str, str]
@@ -27,21 +28,32 @@ class Element:
     items: list = field(default_factory=list)  # elements and texts
 
     def walk(self) -> Iterator["Element"]:
-        for item in self.items:
-            if isinstance(item, Element):
-                yield item
-                yield from item.walk()
+        """All elements below, in the order of the page; pages may be nested to any depth."""
+        open_ = [iter(self.items)]
+        while open_:
+            for item in open_[-1]:
+                if isinstance(item, Element):
+                    yield item
+                    open_.append(iter(item.items))
+                    break
+            else:
+                open_.pop()
 
     def texts(self) -> Iterator[str]:
-        for item in self.items:
+        left = self.items[::-1]
+        while left:
+            item = left.pop()
             if isinstance(item, Element):
-                yield from item.texts()
+                left += item.items[::-1]
             else:
                 yield item
 
     def text(self) -> str:
         return " ".join(s for t in self.texts() if (s := t.strip()))
 
+    def children(self) -> list["Element"]:
+        return [x for x in self.items if isinstance(x, Element)]
+
 
 class _Tree(HTMLParser):
     CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -81,59 +93,183 @@ def parse_html(html: str) -> Element:
     return tree.root
 
 
-def parse_selector(text: str) -> list[list[list[tuple]]]:
-    """Alternatives, each a chain of ancestors, each a list of tests; tags, classes, ids, attributes."""
-    out = []
-    for alternative in text.split(","):
-        chain = []
-        for step in re.findall(r"(?:\[[^\]]*\]|\S)+", alternative.strip()):
-            tests, at = [], 0
-            while at < len(step):
-                m = STEP.match(step, at)
-                if not m:
-                    raise BuildError("CONFIG_INVALID", f"cannot read selector {text!r}")
-                tests.append((m["tag"], m["cls"], m["id"], m["attr"], m["op"], m["val"]))
-                at = m.end()
-            chain.append(tests)
-        if not chain:
-            raise BuildError("CONFIG_INVALID", f"empty selector in {text!r}")
-        out.append(chain)
-    return out
-
-
-def _fits(node: Element, tests: list[tuple]) -> bool:
-    for tag, cls, ident, attr, op, val in tests:
-        if tag and tag != "*" and node.tag != tag.lower():
-            return False
-        if cls and cls not in node.attrs.get("class", "").split():
-            return False
-        if ident and node.attrs.get("id") != ident:
-            return False
-        if attr:
-            have = node.attrs.get(attr)
-            ok = have is not None
-            if ok and op:
-                ok = {"=": have == val, "~=": val in have.split(), "^=": have.startswith(val), "$=": have.endswith(val), "*=": val in have, "|=": have == val or have.startswith(val + "-")}[op]
-            if not ok:
-                return False
-    return True
-
-
-def select(root: Element, selector) -> list[Element]:
+Test = Callable[[Element], bool]
+Chain = list[tuple[str, list[Test]]]  # steps from the left, each with what ties it to the one before: " ", ">", "+" or "~"
+NAMED = re.compile(r"[-\w -\U0010ffff]+")
+ATTRIBUTE = re.compile(r"""\[\s*([-\w:]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\s\]"']+))\s*([iI])?\s*)?\]""")
+NTH = re.compile(r"(odd|even)|([+-]?\d*)n\s*(?:([+-])\s*(\d+))?|([+-]?\d+)")
+HOLDS = {"=": lambda have, v: have == v, "~=": lambda have, v: v in have.split(), "^=": lambda have, v: v != "" and have.startswith(v), "$=": lambda have, v: v != "" and have.endswith(v), "*=": lambda have, v: v != "" and v in have, "|=": lambda have, v: have == v or have.startswith(v + "-")}
+
+
+def _among(node: Element, same_tag: bool) -> list[Element]:
+    return [x for x in node.parent.children() if not same_tag or x.tag == node.tag] if node.parent else [node]
+
+
+def _nth(text: str) -> tuple[int, int] | None:
+    """a and b of the places a·n + b."""
+    m = NTH.fullmatch(text.strip().lower())
+    if not m:
+        return None
+    if m[1]:
+        return 2, m[1] == "odd"
+    if m[5]:
+        return 0, int(m[5])
+    return int(m[2] + "1") if m[2] in ("", "+", "-") else int(m[2]), int((m[3] or "+") + (m[4] or "0"))
+
+
+class _Selector:
+    """Reads a selector: tags, classes, ids, attributes, pseudo-classes, joined by the four combinators; alternatives between commas."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+
+    def fail(self):
+        raise BuildError("CONFIG_INVALID", f"cannot read selector {self.text!r}")
+
+    def space(self) -> bool:
+        start = self.at
+        while self.text[self.at : self.at + 1].isspace():
+            self.at += 1
+        return self.at > start
+
+    def name(self) -> str:
+        m = NAMED.match(self.text, self.at)
+        if not m:
+            self.fail()
+        self.at = m.end()
+        return m[0]
+
+    def alternatives(self, end: str = "") -> list[Chain]:
+        out = [self.chain()]
+        while self.text[self.at : self.at + 1] == ",":
+            self.at += 1
+            out.append(self.chain())
+        if self.text[self.at : self.at + 1] != end:
+            self.fail()
+        return out
+
+    def chain(self) -> Chain:
+        self.space()
+        out, tie = [], " "
+        while True:
+            out.append((tie, self.step()))
+            spaced, sign = self.space(), self.text[self.at : self.at + 1]
+            if sign and sign in ">+~":
+                tie, self.at = sign, self.at + 1
+                self.space()
+            elif spaced and sign not in ("", ",", ")"):
+                tie = " "
+            else:
+                return out
+
+    def step(self) -> list[Test]:
+        tests: list[Test] = []
+        while (sign := self.text[self.at : self.at + 1]) and sign not in " \t\n\r\f,>+~)":
+            if sign == "*":
+                self.at += 1
+                tests.append(lambda n: True)
+            elif sign in ".#":
+                self.at += 1
+                word = self.name()
+                tests.append((lambda n, w=word: w in n.attrs.get("class", "").split()) if sign == "." else (lambda n, w=word: n.attrs.get("id") == w))
+            elif sign == "[":
+                tests.append(self.attribute())
+            elif sign == ":":
+                tests.append(self.pseudo())
+            elif tests:
+                self.fail()
+            else:
+                tests.append(lambda n, w=self.name().lower(): n.tag == w)
+        return tests or self.fail()
+
+    def attribute(self) -> Test:
+        m = ATTRIBUTE.match(self.text, self.at)
+        if not m:
+            self.fail()
+        self.at = m.end()
+        name, op, value, fold = m[1].lower(), m[2], next((x for x in m.groups()[2:5] if x is not None), ""), bool(m[6])
+        if op is None:
+            return lambda n: name in n.attrs
+        case = str.lower if fold else str
+        return lambda n: name in n.attrs and HOLDS[op](case(n.attrs[name]), case(value))
+
+    def pseudo(self) -> Test:
+        self.at += 1
+        name = self.name().lower()
+        if self.text[self.at : self.at + 1] != "(":
+            kind, _, of = name.partition("-")
+            if kind in ("first", "last", "only") and of in ("child", "of-type"):
+                typed = of == "of-type"
+                return {"first": lambda n: _among(n, typed)[0] is n, "last": lambda n: _among(n, typed)[-1] is n, "only": lambda n: len(_among(n, typed)) == 1}[kind]
+            if name == "empty":
+                return lambda n: not n.items
+            if name == "root":
+                return lambda n: n.parent is not None and not n.parent.tag
+            self.fail()
+        self.at += 1
+        if name in ("not", "is", "where", "has"):
+            chains = self.alternatives(")")
+            self.at += 1
+            if name == "has":
+                return lambda n: any(_fits(x, c) for x in n.walk() for c in chains)
+            return lambda n: any(_fits(n, c) for c in chains) != (name == "not")
+        end = self.text.find(")", self.at)
+        places = _nth(self.text[self.at : end]) if end > 0 else None
+        if places is None or name not in ("nth-child", "nth-last-child", "nth-of-type", "nth-last-of-type"):
+            self.fail()
+        self.at = end + 1
+        (a, b), typed, last = places, name.endswith("of-type"), "last" in name
+
+        def test(n: Element) -> bool:
+            row = _among(n, typed)
+            at = next(i for i, x in enumerate(row[::-1] if last else row, 1) if x is n) - b
+            return at == 0 if a == 0 else at % a == 0 and at // a >= 0
+
+        return test
+
+
+@lru_cache(maxsize=1024)
+def parse_selector(text: str) -> list[Chain]:
+    """Alternatives, each a chain of steps."""
+    return _Selector(text.strip()).alternatives()
+
+
+def _before(node: Element) -> list[Element]:
+    row = _among(node, False)
+    return row[: next((i for i, x in enumerate(row) if x is node), 0)][::-1]
+
+
+def _fits(node: Element, chain: Chain) -> bool:
+    """Whether an element ends a chain: each step is looked for among the relatives that its tie names, all of them if need be."""
+    open_ = [(node, len(chain) - 1)]
+    seen = set()
+    while open_:
+        at, k = open_.pop()
+        if (id(at), k) in seen or not at.tag or not all(t(at) for t in chain[k][1]):
+            continue
+        seen.add((id(at), k))
+        if k == 0:
+            return True
+        match chain[k][0]:
+            case ">":
+                near = [at.parent] if at.parent else []
+            case "+":
+                near = _before(at)[:1]
+            case "~":
+                near = _before(at)
+            case _:
+                near, above = [], at.parent
+                while above:
+                    near.append(above)
+                    above = above.parent
+        open_ += [(n, k - 1) for n in near]
+    return False
+
+
+def select(root: Element, selector: str) -> list[Element]:
     """Elements that fit a selector, in the order of the page."""
-    chains = parse_selector(selector) if isinstance(selector, str) else selector
-
-    def fits(node: Element, chain) -> bool:
-        if not _fits(node, chain[-1]):
-            return False
-        rest, above = chain[:-1], node.parent
-        while rest and above and above.tag:
-            if _fits(above, rest[-1]):
-                rest = rest[:-1]
-            above = above.parent
-        return not rest
-
-    return [n for n in root.walk() if any(fits(n, c) for c in chains)]
+    chains = parse_selector(selector)
+    return [n for n in root.walk() if any(_fits(n, c) for c in chains)]
 
 
 @dataclass(frozen=True)
@@ -156,7 +292,7 @@ class Source:
     def values(self, root: Element) -> list[str]:
         found = select(root, self.selector)
         raw = [n.text() for n in found] if self.attribute is None else [n.attrs[self.attribute] for n in found if self.attribute in n.attrs]
-        return [v.strip() for v in raw if v.strip()]
+        return [ud.normalize("NFC", v.strip()) for v in raw if v.strip()]
 
 
 def prune(root: Element) -> None:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ADJECTIVES = "Golden Painted Carved Broken Hidden Royal Coastal Late Early Small".split()
-NOUNS = "Tomb Coffin Statue Stela Pottery Chapel Ledger Harbour Amulet Relief".split()
-COMMON = "stone temple image record field plan chamber wall gold letter".split()
-RARE = "cartouche shabti ostracon mastaba obelisk papyrus canopic faience alabaster sistrum scarab naos pylon talatat uraeus".split()
+from shelfmark.plans.lineage import written
+
+ADJECTIVES = "Quiet Northern Crooked Tidal Borrowed Winter Mended Hollow Brass Salted".split()
+NOUNS = "Lantern Orchard Ferry Compass Granary Loom Quarry Bridge Almanac Anchor".split()
+COMMON = "river timber market rope window bread candle meadow signal copper".split()
+RARE = "astrolabe sextant hurdygurdy theodolite caravel gnomon orrery spinnet armillary bathyscaphe chronometer dulcimer phaeton quadrant zoetrope".split()
 
 
 def synthetic_corpus(spark: SparkSession, count: int, seed: int = 7) -> DataFrame:
@@ -33,14 +35,21 @@ def synthetic_corpus(spark: SparkSession, count: int, seed: int = 7) -> DataFram
 
 
 def dense_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``id`` from 1 in the order of some columns, without bringing all rows to one task: ranges are sorted in parallel, then counted, then numbered."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    part, place = F.shiftright(F.col("__at"), 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    held = ranged.withColumns({"__part": part, "__place": place})
-    sizes = held.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # a row for each partition
+    """``df`` with ``id`` from 1 in the order of some columns, without bringing all rows to one task: ranges are sorted in parallel, then counted, then numbered.
+
+    The ranges are written once and numbered as they were written, since two
+    runs of a plan may draw them differently. Rows equal in ``order`` follow
+    each other in any order.
+    """
+    spark = df.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = written(ranged.withColumns({"__part": F.spark_partition_id(), "__place": place}), "numbered")
+    sizes = sorted(held.groupBy("__part").agg(F.count("*").alias("n")).collect())  # a row for each range
     before, starts = 0, []
-    for r in sizes:
-        starts += [F.lit(r[0]), F.lit(before)]
-        before += r.n
-    offset = F.element_at(F.create_map(*starts), F.col("__part")) if starts else F.lit(0)
-    return held.withColumn("id", (F.col("__place") + offset + 1).cast("long")).drop("__at", "__part", "__place")
+    for part, n in sizes:
+        starts.append((part, before))
+        before += n
+    offsets = F.broadcast(spark.createDataFrame(starts, "__part int, __before long"))  # as many rows as ranges
+    return held.join(offsets, "__part").withColumn("id", F.col("__place") + F.col("__before") + 1).drop("__part", "__place", "__before")
