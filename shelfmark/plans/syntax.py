@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 from itertools import chain, groupby
 
 WORD = re.compile(r"[^\W_]+")
+HYPHENATED = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 ITEM = re.compile(r'(?P<open>\()|(?P<close>\))|(?P<comma>,)|"(?P<quoted>[^"]*)"|(?P<broken>")|(?P<minus>(?<![^\s(])-)|(?P<word>[^\s(),"]+)')
 SCOPE = re.compile(r"([A-Za-z_]\w*):", re.ASCII)
 DISTANCE = 10
@@ -126,9 +127,9 @@ def runs(parts: tuple[str, ...]) -> tuple[str, ...]:
     return tuple("".join(g) for p in parts for _, g in groupby(p, str.isalpha))
 
 
-def read_words(words: list[str]) -> list[Node]:
+def read_words(words: list[str], word: re.Pattern = WORD) -> list[Node]:
     """Bare words as terms, with catalogue numbers recognised in one word (``G7510``) or across several (``G 7510``)."""
-    held = [parts for w in words if (parts := tuple(WORD.findall(w)))]
+    held = [parts for w in words if (parts := tuple(word.findall(w)))]
     classes, out, done = "".join(map(_class_of, held)), [], 0
     for found in CATALOGUE.finditer(classes):
         out += [Term(p) for parts in held[done : found.start()] for p in parts]
@@ -144,6 +145,7 @@ def read_words(words: list[str]) -> list[Node]:
 class Reader:
     items: list[tuple[str, str]]
     columns: tuple[str, ...]
+    word: re.Pattern = WORD
     at: int = 0
     typed: list[Node] = field(default_factory=list)
 
@@ -184,14 +186,14 @@ class Reader:
             if self.kind == "word" and not self.operator():
                 words.append(self.take())
                 continue
-            wanted += self.keep(read_words(words))
+            wanted += self.keep(read_words(words, self.word))
             words = []
             if self.kind == "minus":
                 self.take()
                 unwanted.append(self.operand())
             else:
                 wanted.append(self.operand())
-        wanted += self.keep(read_words(words))
+        wanted += self.keep(read_words(words, self.word))
         if not wanted:
             if unwanted:
                 raise Unreadable("a term to exclude from")
@@ -224,11 +226,11 @@ class Reader:
             if scope[1] not in self.columns:
                 raise Unreadable("a column")
             rest = text[scope.end() :]
-            return Scoped(scope[1], self.one(self.keep(read_words([rest]))) if rest else self.operand())
-        return self.one(self.keep(read_words([text])))
+            return Scoped(scope[1], self.one(self.keep(read_words([rest], self.word))) if rest else self.operand())
+        return self.one(self.keep(read_words([text], self.word)))
 
     def phrase(self) -> Node:
-        terms = tuple(WORD.findall(self.take("quoted")))
+        terms = tuple(self.word.findall(self.take("quoted")))
         if not terms:
             raise Unreadable("words in quotes")
         return self.keep([Phrase(terms)])[0]
@@ -240,7 +242,7 @@ class Reader:
             if self.kind == "quoted":
                 operands.append(self.phrase())
                 continue
-            parts = tuple(WORD.findall(self.take()))
+            parts = tuple(self.word.findall(self.take()))
             if not parts:
                 raise Unreadable("a word")
             operands += self.keep([Term(parts[0], wideable=False) if len(parts) == 1 else Phrase(parts)])
@@ -299,11 +301,12 @@ def _open_end(node: Node, last: Node) -> Node:
     return node
 
 
-def parse(text: str, columns: tuple[str, ...] = ("title", "body"), typing: bool = True) -> Node | None:
-    """The tree of a query; None if it holds no word. ``typing``: the last word may still be growing."""
+def parse(text: str, columns: tuple[str, ...] = ("title", "body"), typing: bool = True, hyphenated: bool = False) -> Node | None:
+    """The tree of a query; None if it holds no word. ``typing``: the last word may still be growing. ``hyphenated``: words joined by hyphens are one."""
+    word = HYPHENATED if hyphenated else WORD
     text = ud.normalize("NFC", text)
     items = [("or" if m.lastgroup == "word" and m[0] == "OR" else m.lastgroup or "quoted", m[m.lastgroup] if m.lastgroup else "") for m in ITEM.finditer(text)]
-    reader = Reader(items, tuple(columns))
+    reader = Reader(items, tuple(columns), word)
     try:
         if any(k == "broken" for k, _ in items):
             raise Unreadable("a closing quote")
@@ -312,7 +315,7 @@ def parse(text: str, columns: tuple[str, ...] = ("title", "body"), typing: bool
             raise Unreadable("the end")
         typed = reader.typed
     except Unreadable:
-        typed = read_words(text.split())
+        typed = read_words(text.split(), word)
         node = None if not typed else typed[0] if len(typed) == 1 else And(tuple(typed))
     if node is None:
         return None
@@ -333,8 +336,8 @@ def _quoted(word: str, prefix: bool = False) -> str:
     return '"' + word.replace('"', '""') + '"' + "*" * prefix
 
 
-def emit(node: Node, widen: Lookup | None = None, correct: Lookup | None = None, positions: bool = True) -> str:
-    """The tree as a match expression; without ``positions`` adjacency becomes conjunction."""
+def emit(node: Node, widen: Lookup | None = None, correct: Lookup | None = None, positions: bool = True, grow_corrected: bool = True) -> str:
+    """The tree as a match expression; without ``positions`` adjacency becomes conjunction. A word with corrections goes on as one without does, unless ``grow_corrected`` is false."""
 
     def adjacent(words: tuple[str, ...], prefix: bool = False) -> str:
         each = [_quoted(w, prefix) for w in words]
@@ -352,10 +355,9 @@ def emit(node: Node, widen: Lookup | None = None, correct: Lookup | None = None,
     def show(n: Node, guess: Lookup | None) -> str:
         match n:
             case Term(value, prefix, wideable):
-                forms = [value]
-                if wideable:
-                    forms += [*((widen and widen(value)) or []), *((guess and guess(value)) or [])]
-                return choice([_quoted(f, prefix) for f in forms])
+                guessed = (guess and guess(value)) or [] if wideable else []
+                forms = [value, *((widen and widen(value)) or [] if wideable else []), *guessed]
+                return choice([_quoted(f, prefix and (grow_corrected or not guessed)) for f in forms])
             case Identifier(_, prefix):
                 return choice([adjacent(s, prefix) for s in spellings(n)])
             case Phrase(terms):

@@ -180,20 +180,19 @@ _match("match_identifier", "VH 5", f"starts_with(a.term, 'vh5') OR {_run('LIKE $
 _match("match_degraded", '"amber cellar', f"{_has('amber')} AND {_has('cellar')}")
 
 
-@query("SELECT query_id, q, fts FROM query_vectors WHERE (corrections IS NULL OR cardinality(corrections) = 0) AND NOT regexp_matches(coalesce(q, ''), '[a-z]-[a-z]')")
+@query("SELECT query_id, q, fts FROM query_vectors")
 def query_emit(spark, sf_dir):
-    # the table holds a word with a hyphen as one and never extends a corrected word, unlike the index
-    plain = "(corrections IS NULL OR cardinality(corrections) = 0) AND NOT coalesce(q, '') RLIKE '[a-z]-[a-z]'"
-    return expressions(table(spark, sf_dir, "query_vectors").where(plain))
+    """Every row in the table's own form: a word with a hyphen is one, a corrected word does not go on."""
+    return expressions(table(spark, sf_dir, "query_vectors"), hyphenated=True, grow_corrected=False)
 
 
 @query()
 def query_emit_all(spark, sf_dir):
-    """Every row, with its corrections. The table's own form differs from the index's (see ``query_emit``), so there is no SQL."""
+    """Every row in the form of the index, which the table does not have, so there is no SQL."""
     return expressions(table(spark, sf_dir, "query_vectors"))
 
 
-def expressions(rows: DataFrame) -> DataFrame:
+def expressions(rows: DataFrame, hyphenated: bool = False, grow_corrected: bool = True) -> DataFrame:
     """(query_id, q, fts) of ``rows`` (query_id, q, corrections); forms offered for a word that is no term of its query are not used."""
 
     def read(batches):
@@ -201,9 +200,9 @@ def expressions(rows: DataFrame) -> DataFrame:
             texts, offered = batch.column("q").to_pylist(), batch.column("corrections").to_pylist()
             found = []
             for q, pairs in zip(texts, offered):
-                tree = parse(q) if q is not None else None
+                tree = parse(q, hyphenated=hyphenated) if q is not None else None
                 forms = {word: [f for f in given or [] if f is not None] for word, given in pairs or []}
-                found.append(emit(tree, correct=forms.get) if tree else None)
+                found.append(emit(tree, correct=forms.get, grow_corrected=grow_corrected) if tree else None)
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), pa.array(found, pa.string())], ["query_id", "q", "fts"])
 
     return rows.select("query_id", "q", "corrections").mapInArrow(read, "query_id long, q string, fts string")
