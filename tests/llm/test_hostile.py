@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import frequency
 from shelfmark.llm.frequency import BurstTrie, count_values
+from shelfmark.llm.neardup import _met, similar_groups, similar_pairs
 
 
 def counted(trie):
@@ -48,3 +49,31 @@ def test_routes_are_cut_again_where_few_are_split(spark, monkeypatch):
     monkeypatch.setattr(frequency, "HELD", 300)
     got = {r.term: r.occurrences for r in count_values(F.col("v"), rows).collect()}
     assert got == Counter(words)
+
+
+def versions(n, rng):
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for _ in range(rng.randint(1, 5)):
+            text[rng.randrange(120)] = f"x{i}-{rng.randrange(9)}"
+        out.append((i, " ".join(text)))
+    return out
+
+
+def test_many_versions_of_one_page_give_links_and_not_pairs(spark):
+    rng = random.Random(3)
+    rows = versions(500, rng) + [(1000 + i, " ".join(f"own{i}q{k}" for k in range(50))) for i in range(100)]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, title string, body string")
+    runs = {i: set(zip(*[t.replace("-", " ").split()[k:] for k in range(3)])) for i, t in rows}
+    alike = lambda a, b: len(runs[a] & runs[b]) >= 0.6 * len(runs[a] | runs[b]) - 1e-9
+    want = {(a, b) for a in range(500) for b in range(a + 1, 500) if alike(a, b)}
+    got = [tuple(r) for r in similar_pairs(docs, "doc_id", ["title", "body"], 3, 0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    short = [tuple(r) for r in similar_pairs(docs, "doc_id", ["title", "body"], 3, 0.6, expanded=100, marked=True).collect()]
+    assert {(a, b) for a, b, _ in short} <= want and not any(w for _, _, w in short) and len(short) < 64 * 19 * 500
+    tied = {r.doc_id: r.group for r in similar_groups(docs, "doc_id", ["title", "body"], 3, 0.6).collect()}
+    assert {tied[i] for i in range(500)} == {0} and all(tied[i] == i for i in tied if i >= 1000)
+    one_band = spark.range(3_000).select(F.col("id").alias("key"), F.lit(7).cast("long").alias("band"))
+    assert _met(one_band)[0].count() < 3 * 3_000
