@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfmark.llm import frequency
+from shelfmark.llm.boilerplate import furniture, main_content
 from shelfmark.llm.frequency import BurstTrie, count_values
 from shelfmark.llm.neardup import _met, similar_groups, similar_pairs
 
@@ -77,3 +78,40 @@ def test_many_versions_of_one_page_give_links_and_not_pairs(spark):
     assert {tied[i] for i in range(500)} == {0} and all(tied[i] == i for i in tied if i >= 1000)
     one_band = spark.range(3_000).select(F.col("id").alias("key"), F.lit(7).cast("long").alias("band"))
     assert _met(one_band)[0].count() < 3 * 3_000
+
+
+def pages_with_notices(n, rng):
+    """Pages whose notices stand inside lines of own text and over line breaks, at other places on each."""
+    notice = "this museum uses small files to count visits and to keep the shop basket alive for a day"
+    legal = "all pictures may be used for teaching if the name\nof the house and the number of the piece are given with them"
+    own = lambda k: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(4, 9))) for _ in range(k))
+    rows, want = [], {}
+    for i in range(n):
+        a, b, c, d = own(rng.randint(3, 9)), own(rng.randint(3, 9)), own(rng.randint(2, 6)), own(rng.randint(5, 9))
+        if i % 2:
+            rows.append((i, "h", None, f"{a} {notice} {b}\n{c} {legal} {d}"))
+            want[i] = [f"{a} {b}", c, d]
+        else:
+            rows.append((i, "h", None, f"{a} {b}\n{c}"))
+            want[i] = [f"{a} {b}", c]
+    return rows, want
+
+
+def test_boilerplate_inside_lines_and_over_line_breaks(spark):
+    from shelfmark.llm import boilerplate
+
+    rows, want = pages_with_notices(60, random.Random(5))
+    docs = spark.createDataFrame([*rows, (900, "other", "T", rows[1][3])], "doc_id long, source string, title string, body string")
+    for rules in (False, True):
+        got = {r.doc_id: r.body.split("\n") for r in main_content(docs, "doc_id", "source", "title", "body", rules=rules).collect()}
+        assert {i: got[i] for i in want} == want and got[900] == rows[1][3].split("\n")
+    assert {r.doc_id for r in furniture(docs, "doc_id", "source", "title", "body", rules=False).collect()} == set()
+    block, boilerplate.BLOCK = boilerplate.BLOCK, 7  # a host of many blocks gives the same
+    try:
+        got = {r.doc_id: r.body.split("\n") for r in main_content(docs, "doc_id", "source", "title", "body", rules=False).collect()}
+    finally:
+        boilerplate.BLOCK = block
+    assert {i: got[i] for i in want} == want
+    whole = spark.createDataFrame([(i, "h", None, f"{b.split(chr(10))[0]}\nthe first half of a notice that breaks its line at no fixed place{chr(10) if i % 2 else ' '}and goes on after it for as many words as before it did") for i, _, _, b in rows], "doc_id long, source string, title string, body string")
+    lines = {(r.doc_id, r.line_no) for r in furniture(whole, "doc_id", "source", "title", "body", share=0.3, rules=False).collect()}
+    assert {(i, k) for i in range(60) for k in ((2, 3) if i % 2 else (2,))} == lines
