@@ -121,6 +121,7 @@ class Rewriter:
             self.automaton.add_word(odd, (odd, plain, known.kind[odd]))
         self.automaton.make_automaton()
         self.alike: dict[tuple[str, str], str] = {}
+        self.seen: dict[str, tuple[str, frozenset[str]]] = {}
         for members in known.members().values():
             letters = [m for m in members if len(m) == 1 and m.isalpha() and known.kind.get(m, "script") == "script"]
             for odd in letters:
@@ -130,6 +131,24 @@ class Rewriter:
                         self.alike[(odd, to)] = max(fit, key=lambda m: ((counts or {}).get(m, 0), -ord(m)))
         self.words = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 
+    def _word(self, word: str) -> tuple[str, frozenset[str]]:
+        """A word in the script of most of its letters, and whether letters were replaced or stay; kept, as words come again."""
+        known = self.seen.get(word)
+        if known is None:
+            scripts = [script(c) for c in word]
+            mixed = {s for s in scripts if s in ALPHABETS}
+            known = (word, frozenset())
+            if len(mixed) > 1 and mixed & MAIN:
+                to = max(sorted(mixed & MAIN), key=lambda s: (scripts.count(s), s == "LATIN"))
+                plain = [self.alike.get((c, to), c) if s in mixed and s != to else c for c, s in zip(word, scripts)]
+                # a letter of another script goes to its like, or has none and stays
+                known = ("".join(plain), frozenset("script" if c != x else "mixed" for c, x, s in zip(word, plain, scripts) if s in mixed and s != to))
+            if len(word) <= 40:
+                if len(self.seen) >= 200_000:
+                    self.seen.clear()
+                self.seen[word] = known
+        return known
+
     def rewrite(self, text: str) -> tuple[str, set[str]]:
         """The text in its one form, and the kinds of odd matter that stood in it."""
         if text.isascii():
@@ -148,12 +167,10 @@ class Rewriter:
         out, done = [], 0
         for word in self.words.finditer(text):
             if not word[0].isascii():
-                scripts = [script(c) for c in word[0]]
-                mixed = {s for s in scripts if s in ALPHABETS}
-                if len(mixed) > 1 and mixed & MAIN:
-                    kinds.add("script")
-                    to = max(sorted(mixed & MAIN), key=lambda s: (scripts.count(s), s == "LATIN"))
-                    out += [text[done : word.start()], "".join(self.alike.get((c, to), c) if s in mixed and s != to else c for c, s in zip(word[0], scripts))]
+                plain, odd = self._word(word[0])
+                if odd:
+                    kinds |= odd
+                    out += [text[done : word.start()], plain]
                     done = word.end()
         text = "".join(out) + text[done:]
         return ud.normalize("NFC", text) if kinds else text, kinds
@@ -197,9 +214,10 @@ def rewritten(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, text, kinds): every non-null field in its one form, with the kinds of odd matter found in it.
 
     Kinds are ``styled`` (full-width, styled or fused forms), ``unjoined``
-    (letter and mark with a composed form), ``invisible``, ``space`` and
-    ``script`` (letters of another script in a word); no kinds means that the
-    text stands as it was. Null fields give no row; empty texts stay empty.
+    (letter and mark with a composed form), ``invisible``, ``space``,
+    ``script`` (letters of another script in a word, replaced by those they look
+    like) and ``mixed`` (such letters that look like none of the word's script
+    and stay); no kinds means that the text stands as it was. Null fields give no row; empty texts stay empty.
     Plain ASCII texts, which are in their form already, pass by Python.
     Representatives follow the frequencies of all texts in ``fields``.
     """
