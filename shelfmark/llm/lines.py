@@ -35,8 +35,13 @@ def repeated_lines(docs: DataFrame, key: str, source: str, body: str, dates: Dat
     # a document's distinct lines; the cluster in the key spreads a line that a whole source repeats
     forms = lines.select("source", "cluster", "on", F.explode(F.array_distinct("forms")).alias("form_id")).where("form_id IS NOT NULL")
     clusters = forms.groupBy("source", "form_id", "cluster").agg(F.count("*").alias("n"), F.min("on").alias("on"))
-    days = clusters.groupBy("source", "form_id", "on").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
     sums = [F.sum("n").alias("n_docs"), F.sum("c").alias("n_clusters"), F.count("*").alias("n_dates")]
+    if dates is None:
+        # one date for all, so there is nothing to tell apart
+        days = clusters.withColumn("c", F.lit(1).cast("long"))
+        sums[2] = F.lit(1).cast("long").alias("n_dates")
+    else:
+        days = clusters.groupBy("source", "form_id", "on").agg(F.sum("n").alias("n"), F.count("*").alias("c"))
     if min_dates > 1:
         sums.append((F.count("*") + F.sum(F.when(F.col("on").isNull(), F.col("c") - 1).otherwise(0))).alias("possible"))
     counts = days.groupBy("source", "form_id").agg(*sums)
@@ -48,10 +53,10 @@ def repeated_lines(docs: DataFrame, key: str, source: str, body: str, dates: Dat
 
 
 def _lines(docs: DataFrame, key: str, source: str, body: str, min_letters: int) -> DataFrame:
-    """A row for each document: source, the forms' ids in the order of its lines (null: too few letters), and the id of all forms together."""
+    """A row for each document: source, the forms' ids, of 96 bits, in the order of its lines (null: too few letters), and the id of all forms together."""
     forms = F.transform(F.split(F.col(body), "\n"), line_form)
     held = docs.where(F.col(body).isNotNull() & F.col(source).isNotNull()).select(F.col(key).alias("__key"), F.col(source).alias("source"), forms.alias("texts"))
-    ids = F.transform("texts", lambda t: F.when(t.rlike(r"(?:\p{L}\P{L}*){" + str(min_letters) + "}"), F.xxhash64(t)))
+    ids = F.transform("texts", lambda t: F.when(t.rlike(r"(?:\p{L}\P{L}*){" + str(min_letters) + "}"), F.struct(F.xxhash64(t).alias("a"), F.hash(t).alias("b"))))
     return held.select("__key", "source", ids.alias("forms"), F.xxhash64("texts").alias("cluster"))
 
 
