@@ -22,7 +22,6 @@ from shelfmark.plans.lineage import written
 
 PATTERN = r"(?U)'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG = 96  # bytes; the fold takes time by the square of a word's length, so longer words are merged in Python
-WIDE = 20_000  # characters; a longer text has too many other words to look each up in its own small map
 NONE = 1 << 30
 
 
@@ -74,8 +73,8 @@ class ByteBpe:
         self.path, self.ranks = path, read_ranks(path)
         self.buckets = buckets
         self.map = self._literal({p.decode("latin-1"): r for p, r in self.ranks.items()}, "int")
-        # whole words, which are looked up most, as they stand in texts, each with its list of one id
-        self.words = self._literal({p.decode("utf-8"): [r] for p, r in self.ranks.items() if _valid(p)}, "array<int>")
+        # whole words, which are looked up most, as they stand in texts
+        self.words = self._literal({p.decode("utf-8"): r for p, r in self.ranks.items() if _valid(p)}, "int")
 
     def _literal(self, values: dict, kind: str) -> Column:
         """A constant array of small maps, in which the checksum of a key names the map."""
@@ -91,7 +90,7 @@ class ByteBpe:
         return F.try_element_at(F.get(self.map, self._bucket(word)), word)
 
     def whole(self, word: Column) -> Column:
-        """The list of a word's id if it is a piece of the vocabulary, else null."""
+        """A word's id if it is a piece of the vocabulary, else null."""
         return F.try_element_at(F.get(self.words, self._bucket(word)), word)
 
     def fold(self, word: Column) -> Column:
@@ -113,46 +112,43 @@ class ByteBpe:
         return F.aggregate(steps, parts, merge, lambda parts: F.transform(parts, self.rank))
 
     def encode(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """(key, ids): one row for each row of ``docs``; empty and null texts give an empty list. ``key`` must be unique.
+        """(key, ids): one row for each row of ``docs``; empty and null texts give an empty list.
 
-        Words of the vocabulary need no shuffle. The others go, once for each
-        document, to their encoding and back to the document, so what moves is
-        short words with short lists, and each text once. The words of very
-        long texts are brought together by their places instead.
+        A text is cut and looked up once: its words of the vocabulary become
+        ids, the others stay with their places. The others go to their
+        encoding, which is made once for each distinct word, and back to their
+        places. What moves is short words, short lists and rows of ids; no text
+        is shuffled, of whatever length.
         """
-        sent = docs.sparkSession.sparkContext.broadcast(self.ranks)  # a vocabulary has a fixed size
-        words = F.regexp_extract_all(F.col("__text"), F.lit(PATTERN), F.lit(0))
+        spark = docs.sparkSession
+        sent = spark.sparkContext.broadcast(self.ranks)  # a vocabulary has a fixed size
         texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-        other = F.array_distinct(F.filter(words, lambda w: self.whole(w).isNull()))
-        held = texts.where(F.length("__text") > 0)
-        # Each step is a written table: no word is cut or merged twice, and each plan holds the literal once.
-        pairs = written(held.select("__key", F.explode(other).alias("word")), "words")
+        none = F.array().cast("array<int>")
+        # Each step is columns of its own, so that no text is cut twice; a written table, so that each plan holds one literal once.
+        cut = texts.where(F.length("__text") > 0).select(F.monotonically_increasing_id().alias("__row"), "__key", F.regexp_extract_all("__text", F.lit(PATTERN), F.lit(0)).alias("__words"))
+        looked = cut.select("__row", "__key", "__words", F.transform("__words", self.whole).alias("ids"))
+        other = F.filter(F.transform("__words", lambda w, i: F.when(F.get("ids", i).isNull(), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+        held = written(looked.select("__row", "__key", "ids", other.alias("others")), "looked-up")
+        places = held.select("__row", F.explode("others").alias("x")).select("__row", "x.at", "x.word")
         # few bytes but much work: spread by number, as partitions sized by bytes would be one
-        distinct = pairs.select("word").distinct().repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        distinct = places.select("word").distinct().repartition(tasks)
 
         def long(batches):
             known = sent.value
             for batch in batches:
                 column = batch.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(w.encode("utf-8"), known) for w in column], pa.list_(pa.int32()))], names=["word", "ids"])
-
-        short = distinct.where(F.octet_length("word") <= LONG).select("word", self.fold(_bytes(F.col("word"))).alias("ids"))
-        encoded = written(short.unionByName(distinct.where(F.octet_length("word") > LONG).mapInArrow(long, "word string, ids array<int>")), "encoded")
-        wide = F.coalesce(F.length("__text") > WIDE, F.lit(False))
-        wide_texts = texts.where(wide)
-        some_wide = not wide_texts.isEmpty()
-        near = pairs.join(wide_texts.select("__key"), "__key", "left_anti") if some_wide else pairs
-        own = near.join(encoded, "word").groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("word", "ids"))).alias("__own"))
-        rows = (texts.where(~wide) if some_wide else texts).join(own, "__key", "left")
-        ids = F.flatten(F.transform(words, lambda w: F.coalesce(self.whole(w), F.try_element_at(F.col("__own"), w))))
-        short_rows = rows.select(F.col("__key").alias(key), F.when(F.length("__text") > 0, ids).otherwise(F.array().cast("array<int>")).alias("ids"))
-        if not some_wide:
-            return short_rows
-        placed = written(wide_texts.select("__key", F.posexplode(words).alias("at", "word")).withColumn("known", self.whole(F.col("word"))), "placed")
-        found = placed.where("known IS NULL").select("__key", "at", "word").join(encoded, "word").select("__key", "at", "ids")
-        everything = placed.where("known IS NOT NULL").select("__key", "at", F.col("known").alias("ids")).unionByName(found)
-        gathered = everything.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("all"))  # one document's words
-        return short_rows.unionByName(gathered.select(F.col("__key").alias(key), F.flatten(F.transform("all", lambda x: x["ids"])).alias("ids")))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_merged(w.encode("utf-8"), known) for w in column], pa.list_(pa.int32()))], names=["word", "pieces"])
+
+        short = distinct.where(F.octet_length("word") <= LONG).select("word", self.fold(_bytes(F.col("word"))).alias("pieces"))
+        encoded = written(short.unionByName(distinct.where(F.octet_length("word") > LONG).mapInArrow(long, "word string, pieces array<int>")), "encoded")
+        # a word of many texts is a row of encoded and many of places: a hot key, which adaptive execution splits as it reads
+        own = places.join(encoded, "word").groupBy("__row").agg(F.collect_list(F.struct("at", "pieces")).alias("own"))  # one text's words
+        known = F.filter(F.transform("ids", lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("at"), F.array(x).alias("pieces")))), lambda x: x.isNotNull())
+        whole = F.flatten(F.transform(F.array_sort(F.concat(known, "own")), lambda x: x["pieces"]))
+        filled = held.select("__row", "__key", "ids").join(own, "__row", "left").select(F.col("__key").alias(key), F.when(F.col("own").isNull(), F.col("ids")).otherwise(whole).alias("ids"))
+        empty = texts.where(F.coalesce(F.length("__text"), F.lit(0)) == 0).select(F.col("__key").alias(key), none.alias("ids"))
+        return filled.unionByName(empty)
 
     def decode(self, ids: Column) -> Column:
         """The text of a list of ids: the pieces' bytes put together; null for null, and for an id outside the vocabulary."""
