@@ -212,11 +212,11 @@ def _page_lines(title, body) -> list[tuple[int, str]]:
 
 def _block_spans(share: float, least: int, long: int):
     def build(frame: pd.DataFrame, size: int) -> pd.DataFrame:
-        rewriter, stream, spans, rows = _rewriter(), Stream(), [], []
+        stream, spans, rows = Stream(), [], []
         whole = []  # the rows of whole lines, and their places
         for page, (doc, title, body) in enumerate(zip(frame["doc"], frame["title"], frame["body"])):
             for number, line in _page_lines(title, body):
-                tokens = line_tokens(line, rewriter)
+                tokens = line_tokens(line, _rewriter())
                 if not tokens:
                     continue
                 stream.add(page, tokens)
@@ -269,12 +269,24 @@ def _block_hits(key, pages: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         tokens = run.split(" ")
         automaton.add_word("".join(letters.setdefault(t, chr(0x10000 + len(letters))) for t in tokens), (int(place), len(tokens)))
     automaton.make_automaton()
+    # a page without odd characters holds a window only if it holds the window's longest plain word as it stands
+    words = [max((t for t in run.split(" ") if t.isascii() and t.isalpha()), key=len, default=None) for run in runs["run"]]
+    plain = ahocorasick.Automaton()
+    for word in words:
+        if word:
+            plain.add_word(word, word)
+    plain.make_automaton()
+    rewriter = _rewriter()
     counts: dict[int, int] = {}
-    out, rewriter = [], _rewriter()
+    out = []
     for doc, title, body in zip(pages["doc"], pages["title"], pages["body"]):
+        if None not in words:
+            whole = (title if isinstance(title, str) else "") + "\n" + (body if isinstance(body, str) else "")
+            if rewriter.untouched(whole) and next(plain.iter(whole.lower()), None) is None:
+                continue
         text, lines, size = ["\n"], [], 1
         for number, line in _page_lines(title, body):
-            if tokens := line_tokens(line, rewriter):
+            if tokens := line_tokens(line, _rewriter()):
                 lines.append({"line": number, "start": size, "n": len(tokens)})
                 text += [*tokens, "\n"]
                 size += len(tokens) + 1

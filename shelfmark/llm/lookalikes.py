@@ -111,6 +111,24 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
     return out
 
 
+# Letters beyond Latin, which alone can mix the scripts of a word; U+2000 to U+2BFF are signs.
+BEYOND = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2c00-\U0010ffff]")
+
+
+@lru_cache(maxsize=1)
+def touched() -> re.Pattern:
+    """Any character that may be part of an odd string, or that stands for ASCII letters in compatibility form."""
+    odd = {c for m, kind in classes().kind.items() if kind != "script" for c in (m if len(m) == 1 else m[1:])}
+    odd |= {chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and any(x.isascii() and x.isalpha() for x in ud.normalize("NFKC", chr(c)))}
+    codes, ranges = sorted(map(ord, odd)), []
+    for c in codes:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 class Rewriter:
     """Rewrites texts by the longest odd string at each place; letters of another script follow the rest of their word."""
 
@@ -121,6 +139,7 @@ class Rewriter:
             self.automaton.add_word(odd, (odd, plain, known.kind[odd]))
         self.automaton.make_automaton()
         self.alike: dict[tuple[str, str], str] = {}
+        self.odd = touched()
         self.seen: dict[str, tuple[str, frozenset[str]]] = {}
         for members in known.members().values():
             letters = [m for m in members if len(m) == 1 and m.isalpha() and known.kind.get(m, "script") == "script"]
@@ -131,6 +150,10 @@ class Rewriter:
                         self.alike[(odd, to)] = max(fit, key=lambda m: ((counts or {}).get(m, 0), -ord(m)))
         self.words = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 
+    def untouched(self, text: str) -> bool:
+        """Whether nothing in a text can be odd: most texts beyond ASCII hold nothing but letters with marks and typographic signs."""
+        return text.isascii() or not (self.odd.search(text) or BEYOND.search(text))
+
     def _word(self, word: str) -> tuple[str, frozenset[str]]:
         """A word in the script of most of its letters, and whether letters were replaced or stay; kept, as words come again."""
         known = self.seen.get(word)
@@ -151,7 +174,7 @@ class Rewriter:
 
     def rewrite(self, text: str) -> tuple[str, set[str]]:
         """The text in its one form, and the kinds of odd matter that stood in it."""
-        if text.isascii():
+        if self.untouched(text):
             return text, set()
         out, kinds, done = [], set(), 0
         for end, (odd, plain, kind) in self.automaton.iter_long(text):
