@@ -42,7 +42,7 @@ from shelfmark.llm.lookalikes import Rewriter
 from shelfmark.plans.lineage import written
 
 BLOCK, BLOCK_CHARS = 2_000, 8_000_000  # pages of one host in one suffix array, and their characters
-LONG = 12  # tokens of a repeat that is boilerplate wherever it stands
+LONG = 20  # tokens of a repeat that is boilerplate wherever it stands
 TASKS = 10_000  # tasks among which blocks are spread at most
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 SEPARATORS = frozenset("»>/›«:|–-·")

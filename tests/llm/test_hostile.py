@@ -103,15 +103,76 @@ def test_boilerplate_inside_lines_and_over_line_breaks(spark):
     rows, want = pages_with_notices(60, random.Random(5))
     docs = spark.createDataFrame([*rows, (900, "other", "T", rows[1][3])], "doc_id long, source string, title string, body string")
     for rules in (False, True):
-        got = {r.doc_id: r.body.split("\n") for r in main_content(docs, "doc_id", "source", "title", "body", rules=rules).collect()}
+        got = {r.doc_id: r.body.split("\n") for r in main_content(docs, "doc_id", "source", "title", "body", long=12, rules=rules).collect()}
         assert {i: got[i] for i in want} == want and got[900] == rows[1][3].split("\n")
-    assert {r.doc_id for r in furniture(docs, "doc_id", "source", "title", "body", rules=False).collect()} == set()
+    assert {r.doc_id for r in furniture(docs, "doc_id", "source", "title", "body", long=12, rules=False).collect()} == set()
     block, boilerplate.BLOCK = boilerplate.BLOCK, 7  # a host of many blocks gives the same
     try:
-        got = {r.doc_id: r.body.split("\n") for r in main_content(docs, "doc_id", "source", "title", "body", rules=False).collect()}
+        got = {r.doc_id: r.body.split("\n") for r in main_content(docs, "doc_id", "source", "title", "body", long=12, rules=False).collect()}
     finally:
         boilerplate.BLOCK = block
     assert {i: got[i] for i in want} == want
     whole = spark.createDataFrame([(i, "h", None, f"{b.split(chr(10))[0]}\nthe first half of a notice that breaks its line at no fixed place{chr(10) if i % 2 else ' '}and goes on after it for as many words as before it did") for i, _, _, b in rows], "doc_id long, source string, title string, body string")
-    lines = {(r.doc_id, r.line_no) for r in furniture(whole, "doc_id", "source", "title", "body", share=0.3, rules=False).collect()}
+    lines = {(r.doc_id, r.line_no) for r in furniture(whole, "doc_id", "source", "title", "body", share=0.3, long=12, rules=False).collect()}
     assert {(i, k) for i in range(60) for k in ((2, 3) if i % 2 else (2,))} == lines
+
+
+def test_letters_without_a_counterpart_are_named_and_stay():
+    from shelfmark.llm.lookalikes import Rewriter
+
+    change = Rewriter({})
+    assert change.rewrite("abшd") == ("abшd", {"mixed"}) and change.rewrite("naд") == ("naд", {"mixed"})
+    assert change.rewrite("brυsһ шаl") == ("brush шаl", {"script", "mixed"}) or change.rewrite("brυsһ")[1] == {"script"}
+
+
+def test_error_budget_of_leaks(spark):
+    from shelfmark.llm.leaks import allowed_errors, leaked_items
+
+    assert allowed_errors(20, 10, None) == (3, 5) and allowed_errors(20, 10, 0.3) == (6, 2) and allowed_errors(20, 10, 0.0) == (0, 5)
+    words = [f"w{i}" for i in range(20)]
+    texts = []
+    for edits in range(9):
+        changed = list(words)
+        for k in range(edits):
+            changed[2 + 2 * k if edits > 6 else 3 * k] = f"x{k}"
+        texts.append(("before " * 3 + " ".join(changed) + " after")) 
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "w1 " * 30)], "item_id long, text string")
+    for budget, most in ((0.0, 0), (0.1, 2), (0.3, 6), (None, 3)):
+        got = {r.doc_id for r in leaked_items(docs, items, "doc_id", "text", "item_id", "text", budget=budget).where("distance <= errors").collect()}
+        assert got == set(range(most + 1)), budget
+    long = spark.createDataFrame([(1, " ".join(words) + " filler" * 200_000 + " " + " ".join(words)), (2, "w1 " * 30_000)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.run) for r in leaked_items(long, items, "doc_id", "text", "item_id", "text").collect()} == {(1, 1, 20), (2, 2, 30)}
+
+
+def test_blocks_of_items_by_characters(spark, monkeypatch):
+    from shelfmark.llm import leaks
+
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(40)]
+    docs = spark.createDataFrame([(i, "own text " + t) for i, t in items], "doc_id long, text string")
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 700)
+    found = leaks.leaked_items(docs, spark.createDataFrame(items, "item_id long, text string"), "doc_id", "text", "item_id", "text")
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(i, i) for i in range(40)}
+
+
+def test_encoding_of_repeated_rows_and_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    from shelfmark.llm.encoding import ByteBpe
+
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(20_000))
+    rows = [(1, "zqxv text"), (1, "zqxv text"), (1, None), (2, long), (2, ""), (3, "x" * 5_000 + " zqxv")]
+    own = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    own.encode_special_tokens = True
+    got = sorted((r.doc_id, r.ids) for r in ByteBpe("/opt/tokenizers/byte_bpe_50k.tiktoken").encode(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect())
+    assert got == sorted((i, own.encode(t, add_special_tokens=False).ids if t else []) for i, t in rows)
+
+
+def test_numbers_of_lines_alike_in_all_ways_of_counting(spark):
+    from shelfmark.llm.lines import repeated_lines
+
+    docs = spark.createDataFrame([(i, "s", f"notice {i}\nown {chr(97 + i)}") for i in range(8)], "doc_id long, source string, body string")
+    dates = spark.createDataFrame([(i, "2020-01-01") for i in range(8)], "doc_id long, d string").select("doc_id", F.col("d").cast("date").alias("published_on"))
+    rows = [sorted((r.n_docs, r.n_clusters, r.n_dates) for r in repeated_lines(docs, "doc_id", "source", "body", dates=d).collect()) for d in (None, dates)]
+    assert rows == [[(8, 8, 1)], [(8, 8, 1)]]
