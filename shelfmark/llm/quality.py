@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 
 KINDS = ("prose", "list", "table", "junk")
 MODEL = Path(__file__).with_name("quality_model.json")
-# Frequent function words of the corpus languages.
+# Articles, pronouns, prepositions, conjunctions, auxiliaries and particles of the grammars of English, German, French, Greek and Russian.
 COMMON = frozenset(
-    "the of and a to in is was for with that as by on it its are from at or be this an were had has not which one but they his her their two been when who after most into than no other only over under where while "
-    "der die das und ein eine einen einem den dem des von zu mit auf für ist war hat man im am aus nicht auch noch wer wie bis seit neben zwischen später nach über vor nur wurde "
-    "le la les un une des du de et en est dans que qui ne pas sur pour au par avec ce cette il elle sont ni on été avant depuis près faute "
-    "ο η το τα οι των του της και με από στο στη για δεν σε ένα ήταν μετά χωρίς κανείς δίπλα πριν κάτω γιατί "
-    "и в на не из с у по был была же от до за где кто около после без под как что лежал".split()
+    "the a an of in on at by to from with without for as into onto over under about after before between during through against among upon within along across behind beside near since until and or but nor if than then so because although while when where "
+    "which who whom whose what how why that this these those it its he him his she her they them their we us our you your i me my is are was were be been being am has have had having do does did will would can could may might must shall should not no only also very "
+    "der die das den dem des ein eine einen einem einer eines und oder aber denn sondern dass weil wenn als ob wie wo wer was nicht kein keine keinen ich du er sie es wir ihr man sich mich dich uns mein sein seine seinen ihre ihren ihrem dieser diese dieses diesem diesen "
+    "in im ins an am auf aus bei beim bis durch für gegen hinter mit nach neben ohne seit über um unter von vom vor zu zum zur zwischen ist sind war waren wird werden wurde wurden hat haben hatte hatten kann können muss müssen soll sollen auch noch nur schon sehr so hier dort da dann "
+    "le la les l un une des du de d et ou mais donc or ni car que qui quoi dont où si comme quand lorsque ne n pas plus jamais je tu il elle on nous vous ils elles me te se s lui leur y en ce c cet cette ces son sa ses mon ma mes notre votre leurs "
+    "à au aux dans par pour sur sous avec sans entre vers chez contre depuis pendant avant après près derrière devant est sont était étaient été être a ont avait avaient avoir fait très aussi encore "
+    "ο η το οι τα του της των τον την τους τις ένας μια μία ένα και κι ή ούτε αλλά όμως γιατί αν ότι πως που όταν όπως ενώ δεν δε μη μην να θα ας εγώ εσύ αυτός αυτή αυτό αυτοί αυτές μου σου μας σας τι ποιος ποια ποιο κανείς "
+    "σε στο στη στην στον στα στις στους από με για ως προς κατά μετά πριν χωρίς μέχρι υπό πάνω κάτω δίπλα είναι ήταν έχει έχουν είχε είχαν πολύ πιο "
+    "и а но или ни да если что чтобы как так когда где куда потому хотя не бы ли же я ты он она оно мы вы они его её ее их мой свой этот эта это эти тот та те кто который которая которое которые весь все всё "
+    "в во на с со к ко у о об от до из за по под над при про без для через между перед после около против среди есть был была было были быть будет будут может уже ещё только очень там здесь".split()
 )
 MARK = re.compile(r"\s*(?:[-*+•–—›»▪◦‣·]\s+|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{2,4})[.)]\s+|\[\d{1,3}\]\s+)\S")
 SENTENCE = re.compile(r"[.!?…。！？;:]['\"”’»)\]]*$")

@@ -1,9 +1,12 @@
-"""Fits the trees of ``quality`` and stores them: ``python -m shelfmark.llm.quality_training DOCUMENTS_PARQUET``.
+"""Fits the trees of ``quality`` and stores them: ``python -m shelfmark.llm.quality_training DOCUMENTS_PARQUET CHECKED_PARQUET``.
 
 Labels are weak: strict rules name documents that are purely one kind and leave
 the rest alone. Mixtures of prose and the other kinds, with known shares, teach
-where half of a text lies. The sample is bounded by SAMPLE documents. The
-probabilities are calibrated on HOLDOUT, whose texts were read by hand.
+where half of a text lies. The sample is bounded by SAMPLE documents, drawn at
+random from the whole table. The probabilities are calibrated on one half of
+CHECKED, documents of another table that were read and judged by hand; figures
+are given for the other half, and for HOLDOUT, texts written for the purpose.
+Neither of these two, nor any text equal to one in CHECKED, is trained on.
 """
 
 from __future__ import annotations
@@ -18,9 +21,16 @@ import pyarrow.parquet as pq
 from shelfmark.llm.quality import FIELDS, KINDS, MODEL, Trees, calibrate, fit_kind, letter_pairs, statistics
 
 SAMPLE = 6_000  # documents read at most
+# Judged by hand: documents of the table of scale 0.01, whose texts stay there. Those of odd number calibrate, those of even number report.
+CHECKED = {
+    "prose": [605, 50, 946, 573, 218, 840, 552, 253, 222, 193, 138, 166, 679, 269, 325, 73, 102, 738, 375, 589, 55, 525, 300],
+    "list": [817, 44, 784, 566, 742, 611, 171, 517, 865, 21, 93, 411, 27, 586, 185, 231, 695, 767],
+    "table": [112, 761, 39, 179, 61, 976, 175, 455, 897, 811, 841, 6, 520, 184, 496, 965, 81, 739, 402, 384],
+    "junk": [276, 306, 925, 258, 77, 260, 148, 213, 321, 776, 60, 581, 917, 407, 45, 705, 478, 58, 3, 709, 524],
+}
 MIXED = 3_000
 
-# Read and judged by hand.
+# Written to be one kind each.
 HOLDOUT = [
     ("prose", "The lid was found in the mill.\nIt had been washed and then sold to a dealer in the town.\nNobody knows who made it."),
     ("prose", "Seen from the road the attic hides\na green seal and its base The\nmason who came from the hills\npreferred schist to sandstone"),
@@ -73,9 +83,24 @@ def weak_label(s: dict[str, float]) -> str | None:
     return None
 
 
-def main(path: str) -> None:
+def without_title(title: str | None, text: str) -> str:
+    return "" if title == text else text[len(title) + 1 :] if title and text.startswith(title + "\n") else text
+
+
+def checked(path: str) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(kind, text) of the documents that calibrate and of those that report."""
+    kinds = {i: k for k, ids in CHECKED.items() for i in ids}
+    rows = [r for r in pq.read_table(path, columns=["doc_id", "title", "text"]).to_pylist() if r["doc_id"] in kinds]
+    pairs = [(r["doc_id"], kinds[r["doc_id"]], without_title(r["title"], r["text"])) for r in rows]
+    return [(k, t) for i, k, t in pairs if i % 2], [(k, t) for i, k, t in pairs if not i % 2]
+
+
+def main(path: str, checked_path: str) -> None:
     random.seed(5)
-    bodies = [x for x in pq.read_table(path, columns=["body"]).column(0).to_pylist()[:SAMPLE] if x and x.strip()]
+    calibrating, reporting = checked(checked_path)
+    known = {t for _, t in calibrating + reporting}
+    bodies = pq.read_table(path, columns=["body"]).column(0).to_pylist()
+    bodies = [x for x in random.sample(bodies, min(SAMPLE, len(bodies))) if x and x.strip() and x not in known]
     flat = {a + b: -3.0 for a in "^abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz$"}
     flat_scores, scores = {}, {}
     first = [dict(zip(FIELDS, statistics(b, flat, flat_scores))) for b in bodies]
@@ -105,14 +130,17 @@ def main(path: str) -> None:
             x.append(statistics("\n".join(mixed), pairs, scores))
             y.append(kind if share > 0.5 else "prose")
     x, y = np.array(x), np.array(y)
-    held_x, held_y = np.array([statistics(t, pairs, scores) for _, t in HOLDOUT]), np.array([k for k, _ in HOLDOUT])
-    fitted = [calibrate(fit_kind(x, (y == k).astype(float)), held_x, (held_y == k).astype(float)) for k in KINDS]
+    numbers = lambda rows: (np.array([statistics(t, pairs, scores) for _, t in rows]), np.array([k for k, _ in rows]))
+    cx, cy = numbers(calibrating)
+    fitted = [calibrate(fit_kind(x, (y == k).astype(float)), cx, (cy == k).astype(float)) for k in KINDS]
     model = Trees(fitted)
-    for name, a, b in (("training", x, y), ("holdout", held_x, held_y)):
-        guess = np.array(KINDS)[model.probabilities(a).argmax(axis=1)]
-        print(name, len(b), "right:", round(float((guess == b).mean()), 4), [(t, g) for t, g in zip(b, guess) if t != g][:10])
+    for name, (a, b) in (("training", (x, y)), ("calibration", (cx, cy)), ("report", numbers(reporting)), ("written", numbers(HOLDOUT))):
+        p = model.probabilities(a)
+        guess = np.array(KINDS)[p.argmax(axis=1)]
+        brier = float(((p - (b[:, None] == np.array(KINDS))) ** 2).sum(axis=1).mean())
+        print(name, len(b), "right:", round(float((guess == b).mean()), 4), "Brier:", round(brier, 4), [(t, g) for t, g in zip(b, guess) if t != g][:10])
     MODEL.write_text(json.dumps({"pairs": pairs, "kinds": fitted}, separators=(",", ":")))
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(*sys.argv[1:3])
