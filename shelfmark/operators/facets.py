@@ -25,13 +25,16 @@ def _tagged(values: Column, place: int, name: str) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(place).alias("ord"), F.lit(name).alias("facet"), v.alias("value")))
 
 
-def facet_counts(rows: DataFrame, fields: Fields, asked: bool | list[str], filters: Mapping | None = None) -> DataFrame:
+def facet_counts(rows: DataFrame, fields: Fields, asked: bool | list[str], filters: Mapping | None = None, named: bool = False) -> DataFrame:
     """(ord, facet, value, n): counts of each value of the asked facets over ``rows``.
 
     A facet is counted under the filters of all others. Null values are not
     counted; values of arrays count once in each row. Rows are ordered by the
     asked order, then count, then value when the caller sorts by (ord, -n, value).
 
+    With ``named`` each asked facet also has a row of a null value and count 0, so
+    that one without any value is seen to have been asked for.
+
     One scan: a row yields one pair for each facet whose other filters it
     passes, and pairs are counted where they arise before anything is shuffled.
     """
@@ -46,4 +49,7 @@ def facet_counts(rows: DataFrame, fields: Fields, asked: bool | list[str], filte
     if not lists:
         return rows.sparkSession.createDataFrame([], "ord int, facet string, value string, n long")
     exploded = rows.select(F.explode(F.concat(*[F.coalesce(x, F.array().cast("array<struct<ord:int,facet:string,value:string>>")) for x in lists])).alias("x")).select("x.*")
-    return exploded.where("value IS NOT NULL").groupBy("ord", "facet", "value").agg(F.count("*").alias("n"))
+    counts = exploded.where("value IS NOT NULL").groupBy("ord", "facet", "value").agg(F.count("*").alias("n"))
+    if not named:
+        return counts
+    return counts.unionByName(rows.sparkSession.createDataFrame([(k, n, None, 0) for k, n in enumerate(names)], "ord int, facet string, value string, n long"))

@@ -17,6 +17,7 @@ from shelfmark.functions.coerce import array_of, canonical_json, coerce, invalid
 from shelfmark.functions.text import composed, fold_map
 from shelfmark.functions.timestamps import published_instants
 from shelfmark.operators import profile
+from shelfmark.operators.batch import ranked_pages
 from shelfmark.operators.boosts import RecencyBoost, ValueBoost
 from shelfmark.operators.facets import facet_counts
 from shelfmark.operators.filters import Field, Fields, Range
@@ -377,6 +378,13 @@ def facets_array(spark, sf_dir):
     return searcher(spark, sf_dir).facets(Request(facets=["tags"]))
 
 
+@query(f"WITH {K1_SQL} " + _counts(0, "lang", "lang", "k1", "false") + " UNION ALL SELECT 0, 'lang', NULL, 0 UNION ALL SELECT 1, 'category', NULL, 0 UNION ALL " + _counts(1, "category", "category", "k1", "false"))
+def facets_of_nothing(spark, sf_dir):
+    """Facets without a value are named all the same."""
+    rows = searcher(spark, sf_dir).found(Request(filters={"year": []}))
+    return facet_counts(rows, FIELDS, ["lang", "category"], named=True)
+
+
 def _filter(name: str, filters: dict, where: str):
     def run(spark, sf_dir):
         return searcher(spark, sf_dir).found(Request(filters=filters)).select("id")
@@ -420,6 +428,60 @@ def facet_integrity(spark, sf_dir):
     return left.join(right, "k").join(total, "k").select((F.col("s") == F.col("t")).alias("buckets_sum_to_total"), (F.col("en") == F.col("e")).alias("filter_equals_bucket"), (F.col("h") == F.col("h2")).alias("own_facet_unfiltered"))
 
 
+# --- many queries at once, probes -------------------------------------------------
+
+
+@query(f"""WITH {TOK_SQL}, asked AS (SELECT DISTINCT query_id, unnest({_toks('q')}) AS term FROM query_vectors WHERE q IS NOT NULL), parts AS (SELECT query_id, count(*) AS k FROM asked GROUP BY 1),
+df AS (SELECT term, ln(((SELECT docs FROM size) - count(DISTINCT id) + 0.5) / (count(DISTINCT id) + 0.5)) AS v FROM tok GROUP BY term),
+f AS (SELECT query_id, id, term, sum(CASE col WHEN 0 THEN 10.0 ELSE 1.0 END) AS f FROM asked JOIN tok USING (term) GROUP BY ALL),
+s AS (SELECT query_id, id, count(*) AS held, round(-sum(CASE WHEN v > 0 THEN v ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * lens.n / size.mean))), 9) AS score FROM f JOIN df USING (term) JOIN lens USING (id), size GROUP BY 1, 2)
+SELECT query_id, id, (row_number() OVER (PARTITION BY query_id ORDER BY score, id) - 1)::INTEGER AS place, round(score, 6) AS score FROM s JOIN parts USING (query_id) WHERE held = k QUALIFY place < 10""")
+def batch_pages(spark, sf_dir):
+    """The best ten documents of every query of the table."""
+    return ranked_pages(index_of(spark, sf_dir), table(spark, sf_dir, "query_vectors"), "query_id", "q").withColumn("score", F.round("score", 6) + 0.0)
+
+
+_PROBES = {"point": "beeswax", "selective": "amethyst", "moderate": "cellar", "broad": "the"}
+
+
+@query(f"WITH {TOK_SQL} SELECT 'empty' AS probe, count(*)::BIGINT AS n FROM k1 UNION ALL SELECT 'unknown', 0 UNION ALL " + " UNION ALL ".join(f"SELECT '{p}', count(DISTINCT id)::BIGINT FROM tok WHERE term = '{w}'" for p, w in _PROBES.items())
+       + " UNION ALL SELECT 'filtered', count(DISTINCT id)::BIGINT FROM tok JOIN k1 USING (id) WHERE term = 'cellar' AND category = 'object' AND year BETWEEN 1950 AND 2024 UNION ALL SELECT 'facet', count(DISTINCT category)::BIGINT FROM k1 UNION ALL SELECT 'array', count(*)::BIGINT FROM k1 WHERE list_has_any(tags, ['pottery'])")
+def probes(spark, sf_dir):
+    """Nine shapes of request, each with the number of its hits."""
+    s = searcher(spark, sf_dir)
+    asked = {"empty": Request(), "unknown": Request("zzzzqx", typing=False)} | {p: Request(w, typing=False) for p, w in _PROBES.items()}
+    asked |= {"filtered": Request("cellar", {"category": "object", "year": Range(1950, 2024)}, typing=False), "array": Request(filters={"tags": ["pottery"]})}
+    parts = [s.total(r).select(F.lit(p).alias("probe"), F.col("total").alias("n")) for p, r in asked.items()]
+    parts.append(s.facets(Request(facets=["category"])).agg(F.count("*").alias("n")).select(F.lit("facet").alias("probe"), "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+DIMENSIONS = {"benchmark_group": ("group", 8), "kind": ("kind", 4), "topic": ("topic", 12)}  # fixed values: names and sizes of the bench's facets
+
+
+@query("WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS i FROM documents) " + " UNION ALL ".join(f"SELECT '{n}' AS dimension, '{p}' || ((i - 1) % {k})::VARCHAR AS value, count(*)::BIGINT AS n FROM d GROUP BY 2" for n, (p, k) in DIMENSIONS.items()))
+def bench_dimensions(spark, sf_dir):
+    """Documents numbered, with facets of known sizes by their numbers."""
+    return bench_corpus(table(spark, sf_dir, "documents")).select(F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).alias("value")) for n in DIMENSIONS])).alias("x")).groupBy("x.dimension", "x.value").agg(F.count("*").alias("n"))
+
+
+def bench_corpus(docs: DataFrame) -> DataFrame:
+    """(id, url, title, body, benchmark_group, kind, topic) of ``docs``, for a bench of facets of different sizes."""
+    numbered = dense_ids(docs.select("doc_id", "title", "body"), ["doc_id"])
+    dims = [F.concat(F.lit(p), ((F.col("id") - 1) % k).cast("string")).alias(n) for n, (p, k) in DIMENSIONS.items()]
+    return numbered.select(F.format_string("doc-%06d", "id").alias("id"), F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit("/")).alias("url"), "title", "body", *dims)
+
+
+@query("SELECT 'amber' AS term, 'elektron' AS other UNION ALL SELECT 'elektron', 'amber' UNION ALL SELECT 'beeswax', 'cera' UNION ALL SELECT 'cera', 'beeswax'")
+def variants_declared(spark, sf_dir):
+    """Synonyms stand also for words that no document holds; a suppressed pair does not."""
+    groups = term_variants(index_of(spark, sf_dir).vocabulary, [["amber", "elektron"], ["beeswax", "cera", "wax"]], [["beeswax", "wax"], ["wax", "cera"]], generated=False)
+    return groups.select("term", F.explode("variants").alias("other"))
+
+
 # --- suggestions ----------------------------------------------------------------
 
 
@@ -492,6 +554,22 @@ def records_checked(spark, sf_dir):
     return checked_records(lines, {"fields": ["title", "body"], "facets": ["lang"]}, Fields(lang=Field("facet"))).agg(F.count("*").alias("n"), F.count("problem").alias("bad"))
 
 
+@query("""SELECT CASE doc_id % 5 WHEN 1 THEN 'record id must be a non-empty string or an integer' WHEN 2 THEN 'record fields.title must be a string' WHEN 3 THEN 'record url must be a non-empty string'
+ WHEN 4 THEN 'record lang must be a single value' END AS problem, count(*)::BIGINT AS n FROM documents GROUP BY 1""")
+def records_refused(spark, sf_dir):
+    """Every document as a record, four of five with a fault of one kind."""
+    docs = table(spark, sf_dir, "documents")
+
+    def line(id_="doc_id", url=F.lit("/d/"), title="title", lang="lang"):
+        fields, facets = F.struct(F.expr(title).alias("title"), "body"), F.struct(F.expr(lang).alias("lang"))
+        return F.to_json(F.struct(F.expr(id_).alias("id"), url.alias("url"), fields.alias("fields"), facets.alias("facets")))
+
+    fault = F.col("doc_id") % 5
+    raw = F.when(fault == 1, line("doc_id + 0.5D")).when(fault == 2, line(title="doc_id")).when(fault == 3, line(url=F.lit(" "))).when(fault == 4, line(lang="array('en', lang)")).otherwise(line())
+    checked = checked_records(docs.select(raw.alias("raw")), {"fields": ["title", "body"], "facets": ["lang"]}, Fields(lang=Field("facet")))
+    return checked.groupBy("problem").agg(F.count("*").alias("n"))
+
+
 @query("SELECT row_number() OVER (ORDER BY url, page_id, crawled_at, ingested_at) AS id, url FROM site_pages")
 def dense_numbers(spark, sf_dir):
     return dense_ids(table(spark, sf_dir, "site_pages").select("url", "page_id", "crawled_at", "ingested_at"), ["url", "page_id", "crawled_at", "ingested_at"]).select("id", "url")

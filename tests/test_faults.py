@@ -186,3 +186,38 @@ def test_problems_that_do_not_end_a_build_are_reported(spark, tmp_path):
     index = compile_site(spark, str(tmp_path / "site"), config, str(tmp_path / "ix"), metrics)
     assert metrics["warnings"] == [{"code": "FIELD_MULTIPLE_VALUES", "field": "c", "n": 5, "paths": ["0.html", "1.html", "2.html"]}, {"code": "SELECTOR_MISS", "field": "title", "n": 5, "paths": ["0.html", "1.html", "2.html"]}]
     assert index.variants.count() == 0
+
+
+def test_batch_of_queries_as_single_queries(spark, titles):
+    from shelfmark.operators.batch import ranked_pages
+
+    asked = [(1, "amber"), (2, "stone amber"), (2, "stone amber"), (3, "  "), (4, None), (5, "zzz amber"), (6, "T001")]
+    got = ranked_pages(titles, spark.createDataFrame(asked, "query_id long, q string"), "query_id", "q", limit=7, offset=2)
+    pages = {}
+    for r in got.orderBy("query_id", "place").collect():
+        pages.setdefault(r.query_id, []).append((r.place, r.id, r.score))
+    searcher = Searcher(titles, Fields())
+    for key, text in ((1, "amber"), (2, "stone amber")):
+        rows = sorted(((round(r.score, 9), r.id) for r in searcher.matches(searcher.plan(text, typing=False)).collect()))[2:9]
+        assert [(i, pytest.approx(s)) for _, i, s in pages[key]] == [(i, s) for s, i in rows] and [p for p, _, _ in pages[key]] == list(range(2, 9))
+    assert set(pages) <= {1, 2, 6}
+
+
+def test_facets_without_a_value_are_named(spark, titles):
+    from shelfmark.operators.facets import facet_counts
+
+    rows = facet_counts(titles.documents.limit(0), Fields(lang=Field("facet")), ["lang"], named=True).collect()
+    assert [(r.ord, r.facet, r.value, r.n) for r in rows] == [(0, "lang", None, 0)]
+
+
+def test_written_tables_need_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from shelfmark.plans import lineage
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    with pytest.raises(BuildError, match="NO_SHARED_DIR"):
+        lineage.shared_dir(session("spark://host:7077"))
+    assert lineage.shared_dir(session("local[2]")).startswith("file://")
