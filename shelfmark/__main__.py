@@ -68,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 request = Request(args.query, limit=args.limit, offset=args.offset, facets=args.facet)
                 hits = [r.asDict() for r in searcher.hits(request).collect()]
-                counts = [r.asDict() for r in searcher.facets(request).orderBy("ord", "n", "value").collect()] if args.facet else []
+                counts = [r.asDict() for r in searcher.facets(request).collect()] if args.facet else []
                 print(json.dumps({"total": searcher.total(request).first().total, "hits": hits, "facets": counts}, ensure_ascii=False, default=str))
     except CodedError as error:
         print(json.dumps({"ok": False, "code": error.code, "message": error.message}), file=sys.stderr)

@@ -46,6 +46,11 @@ class Config:
     positions: bool = True
     variant_generation: bool = True
 
+    def described(self) -> dict:
+        """What a reader of the index must know: types and roles of fields, boosts, synonyms, and the declaration's fingerprint."""
+        fields = {n: {"role": f.role, "type": f.type, "required": n in self.required} for n, f in self.fields.items()}
+        return {"fields": fields, "boosts": [repr(b) for b in self.boosts], "synonyms": self.synonyms, "suppressions": self.suppressions, "fingerprint": self.fingerprint}
+
     @property
     def fingerprint(self) -> str:
         shown = {k: v for k, v in vars(self).items() if k not in ("boosts", "fields", "required")}

@@ -89,7 +89,7 @@ def compile_site(spark: SparkSession, root: str, config: Config, path: str, metr
             made["warnings"] = profile.warnings(problems.where("NOT fatal"), ["code", "field"], F.col("path"), F.col("id"))
         return made
 
-    index = build(docs, config.columns, path, config.positions, metrics=metrics, finish=finish)
+    index = build(docs, config.columns, path, config.positions, metrics=metrics, finish=finish, declared=config.described())
     if metrics is not None and problems is not None:
         metrics["warnings"] = [r.asDict() for r in spark.read.parquet(f"{path}/warnings").orderBy("code", "field").collect()]  # a row for each code and field
     return index

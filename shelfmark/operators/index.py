@@ -26,7 +26,8 @@ class Index:
     n: the document's length, lead: the document's first posting of the term),
     ``lengths`` (id, n), ``vocabulary`` (term, doc, cnt); ``columns`` are the
     search columns with their weights, in the order of their numbers; ``size``
-    is the number of documents and of their terms, where it is known.
+    is the number of documents and of their terms, where it is known;
+    ``declared`` what the declaration says of fields and boosts.
     """
 
     documents: DataFrame
@@ -37,6 +38,7 @@ class Index:
     positions: bool = True
     variants: DataFrame | None = None
     size: tuple[int, int] | None = None
+    declared: dict | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -97,7 +99,7 @@ def vocabulary_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count_if("lead").alias("doc"), F.sum(F.size("positions")).alias("cnt"))
 
 
-def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, positions: bool = True, variants: DataFrame | None = None, partitions: int | None = None, metrics: dict | None = None, finish: Callable[[DataFrame], dict[str, DataFrame]] | None = None) -> Index:
+def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, positions: bool = True, variants: DataFrame | None = None, partitions: int | None = None, metrics: dict | None = None, finish: Callable[[DataFrame], dict[str, DataFrame]] | None = None, declared: dict | None = None) -> Index:
     """The index of ``docs`` (id, search columns, stored columns).
 
     With ``path`` the tables are written: documents in ranges of ids, so that a
@@ -108,7 +110,8 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
     Tables are made in a folder beside ``path`` and put in its place when the
     last of them, the manifest, is written: a build that fails leaves the former
     index as it was. ``metrics`` receives the seconds of each phase and counts;
-    ``finish`` makes further tables of the index from its vocabulary.
+    ``finish`` makes further tables of the index from its vocabulary, ``declared``
+    is kept in the manifest.
     """
     names = list(columns)
     docs = composed(docs, names)
@@ -147,7 +150,7 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
         table.write.parquet(f"{at}/{name}")
     phase("further tables")
     total = spark.read.parquet(f"{at}/lengths").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()  # one row
-    write_manifest(spark, at, columns, positions, "variants" in more, (total.docs, total.terms))
+    write_manifest(spark, at, columns, positions, "variants" in more, (total.docs, total.terms), declared)
     _replace(spark, at, path)
     phase("manifest")
     if metrics is not None:
@@ -155,8 +158,8 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
     return open_index(spark, path)
 
 
-def write_manifest(spark: SparkSession, path: str, columns: dict[str, float], positions: bool = True, variants: bool = False, size: tuple[int, int] | None = None) -> None:
-    text = json.dumps({"version": VERSION, "columns": list(columns.items()), "positions": positions, "variants": variants, "size": size}, sort_keys=True)
+def write_manifest(spark: SparkSession, path: str, columns: dict[str, float], positions: bool = True, variants: bool = False, size: tuple[int, int] | None = None, declared: dict | None = None) -> None:
+    text = json.dumps({"version": VERSION, "columns": list(columns.items()), "positions": positions, "variants": variants, "size": size, "declared": declared}, sort_keys=True)
     spark.createDataFrame([(text,)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
@@ -204,7 +207,29 @@ def open_index(spark: SparkSession, path: str) -> Index:
     if not manifest["positions"]:
         postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))
     size = tuple(manifest["size"]) if manifest.get("size") and not added else None
-    return Index(table("documents"), postings, table("lengths"), vocabulary, dict(manifest["columns"]), manifest["positions"], spark.read.parquet(f"{path}/variants") if manifest["variants"] else None, size)
+    return Index(table("documents"), postings, table("lengths"), vocabulary, dict(manifest["columns"]), manifest["positions"], spark.read.parquet(f"{path}/variants") if manifest["variants"] else None, size, manifest.get("declared"))
+
+
+def compact(spark: SparkSession, path: str, partitions: int | None = None) -> Index:
+    """Rewrites an index to which batches were added as one set of tables in ranges of ids and terms, with its vocabulary and size; not while batches arrive.
+
+    The new tables replace the old ones when all are there, as in ``build``.
+    """
+    manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    index = open_index(spark, path)
+    at = f"{path.rstrip('/')}.building-{uuid.uuid4().hex[:8]}"
+    ranges = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    postings = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(f"{path}/postings")  # with positions, whether they are used or not
+    index.documents.repartitionByRange(ranges, "id").sortWithinPartitions("id").write.parquet(f"{at}/documents")
+    index.lengths.repartitionByRange(ranges, "id").write.parquet(f"{at}/lengths")
+    postings.repartitionByRange(ranges, "term", "id").sortWithinPartitions("term", "id", "col").write.parquet(f"{at}/postings")
+    vocabulary_of(spark.read.parquet(f"{at}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/vocabulary")
+    if index.variants is not None:
+        index.variants.write.parquet(f"{at}/variants")
+    total = spark.read.parquet(f"{at}/lengths").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()  # one row
+    write_manifest(spark, at, dict(manifest["columns"]), manifest["positions"], index.variants is not None, (total.docs, total.terms), manifest.get("declared"))
+    _replace(spark, at, path)
+    return open_index(spark, path)
 
 
 def size_of(path: str) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.functions.text import tokens
+from shelfmark.plans.lineage import written
 
 
 def index_columns(postings: DataFrame) -> DataFrame:
@@ -103,6 +105,22 @@ def nearest_frequency(counts: DataFrame, name: str, count: str, targets: list[in
 
 
 def nearest_rank(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """(share, value): nearest-rank percentiles."""
-    exprs = [F.struct(F.lit(s).alias("share"), F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY `{column}`)").alias("value")) for s in shares]
-    return df.agg(F.array(*exprs).alias("p")).select(F.explode("p").alias("x")).select("x.*")
+    """(share, value): nearest-rank percentiles of the values that are not null; null where there are none.
+
+    Equal values are counted together, the counts added up in ranges of values,
+    and the ranges one after another, so no task sees more than a range.
+    """
+    spark = df.sparkSession
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    held = written(counts.repartitionByRange(ranges, "value").withColumn("part", F.spark_partition_id()), "ranges")
+    before, starts = 0, []
+    for part, n in sorted(held.groupBy("part").agg(F.sum("n")).collect()):  # a row for each range
+        starts.append((part, before))
+        before += n
+    ranks = [(float(s), max(1, math.ceil(s * before - 1e-9))) for s in shares]
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value")) + F.col("before")
+    placed = held.join(F.broadcast(spark.createDataFrame(starts, "part int, before long")), "part").withColumn("upto", upto)  # as many rows as ranges
+    hit = F.filter(F.array(*[F.struct(F.lit(s).alias("share"), F.lit(r).alias("rank")) for s, r in ranks]), lambda x: (x["rank"] <= F.col("upto")) & (x["rank"] > F.col("upto") - F.col("n")))
+    found = placed.select("value", F.explode(hit).alias("x")).select("x.share", "value")
+    return spark.createDataFrame([(s,) for s, _ in ranks], "share double").join(found, "share", "left")

@@ -150,8 +150,9 @@ class Searcher:
         return self.found(request).agg(F.count("*").alias("total"))
 
     def facets(self, request: Request) -> DataFrame:
+        """(ord, facet, value, n) in the order asked for, most frequent values first."""
         rows, _ = self.rows(request)
-        return facet_counts(rows, self.fields, request.facets, request.filters)
+        return facet_counts(rows, self.fields, request.facets, request.filters).orderBy("ord", F.desc("n"), "value")
 
     def page(self, request: Request) -> DataFrame:
         """(id, place, band, proximity, score) of a page of hits; ``place`` is the place in the whole order, from 0."""

@@ -31,8 +31,8 @@ def check_index(index: Index, fields: Fields) -> dict:
     """What a finished index must satisfy; the first thing that fails is an error.
 
     Ids are unique, postings belong to documents, vocabulary and lengths agree
-    with the postings, a word of a document finds it, and a term is a filter of
-    the scan.
+    with the postings, a word of a document finds it, a filter finds the documents
+    of its value, and a term is a filter of the scan.
     """
     searcher = Searcher(index, fields)
     total = index.documents.count()
@@ -51,6 +51,13 @@ def check_index(index: Index, fields: Fields) -> dict:
             raise BuildError("INDEX_SMOKE", f"{smoke[0].term} is in {smoke[0].doc} documents, a search finds {found}")
         if not pushed(index.postings.where(F.col("term") == smoke[0].term)):
             raise BuildError("INDEX_PLAN", "a term is no filter of the scan of postings")
+    for name, f in sorted(fields.items()):
+        if f.role == "facet" and f.type == "string" and name in index.documents.columns:
+            held = index.documents.where(F.col(name).isNotNull()).groupBy(name).count().orderBy(F.desc("count"), name).limit(1).collect()
+            if held and searcher.total(Request(filters={name: held[0][0]})).first().total != held[0]["count"]:
+                raise BuildError("INDEX_SMOKE", f"a filter on {name} finds other documents than hold {held[0][0]!r}")
+            if held:
+                break
     return {"documents": total, "terms": index.vocabulary.count(), "tokens": tokens}
 
 

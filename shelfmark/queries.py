@@ -527,10 +527,11 @@ def json_store(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", canonical_json(F.col("props")).alias("props"))
 
 
-@query("SELECT page_id, 'https://museum.example/' || source || '/' || page_id::VARCHAR || '/' AS url FROM site_pages WHERE source IS NOT NULL")
+@query("SELECT page_id, 'https://museum.example/' || source || '/' || page_id::VARCHAR || '/' AS url FROM site_pages")
 def canonical_urls(spark, sf_dir):
-    path = F.concat_ws("/", "source", F.col("page_id").cast("string"), F.lit("index.html"))
-    return table(spark, sf_dir, "site_pages").where("source IS NOT NULL").select("page_id", canonical_url("https://museum.example", path).alias("url"))
+    """Of every page; one without source has no address."""
+    path = F.concat("source", F.lit("/"), F.col("page_id").cast("string"), F.lit("/index.html"))
+    return table(spark, sf_dir, "site_pages").select("page_id", canonical_url("https://museum.example", path).alias("url"))
 
 
 _SPACE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"

@@ -221,3 +221,53 @@ def test_written_tables_need_a_shared_folder_on_a_cluster(monkeypatch):
     with pytest.raises(BuildError, match="NO_SHARED_DIR"):
         lineage.shared_dir(session("spark://host:7077"))
     assert lineage.shared_dir(session("local[2]")).startswith("file://")
+
+
+def test_batches_are_compacted(spark, tmp_path):
+    from shelfmark.operators.index import compact
+    from shelfmark.streaming.append import follow
+
+    path, columns, schema = str(tmp_path / "ix"), {"title": 10.0, "body": 1.0}, "id long, title string, body string"
+    build(spark.createDataFrame([(10, "gold", "ring")], schema), columns, path)
+    (tmp_path / "in").mkdir()
+
+    def add(n):
+        (tmp_path / "in" / f"{n}.json").write_text(json.dumps({"id": n, "title": "gold", "body": "gold kiln"}))
+        follow(spark, str(tmp_path / "in"), schema, path, columns, str(tmp_path / "cp")).awaitTermination()
+
+    def state(index):
+        scores = Searcher(index, Fields())
+        return sorted((r.id, round(r.score, 9)) for r in scores.matches(scores.plan("gold", typing=False)).collect()), {r.term: (r.doc, r.cnt) for r in index.vocabulary.collect()}
+
+    add(1)
+    add(2)
+    before = state(open_index(spark, path))
+    index = compact(spark, path)
+    assert state(index) == before and index.size == (3, 8) and not list((tmp_path / "ix" / "postings").glob("batch=*"))
+    add(3)
+    assert {r.id for r in open_index(spark, path).documents.collect()} == {1, 2, 3, 10}
+
+
+def test_percentiles_by_rank(spark):
+    from shelfmark.operators.profile import nearest_rank
+
+    rng = random.Random(4)
+    values = [rng.randrange(40) for _ in range(997)]
+    rows = spark.createDataFrame([(v,) for v in [*values, None, None]], "x int").repartition(7)
+    want = {s: sorted(values)[max(1, -(-int(s * 1000) * 997 // 1000)) - 1] for s in (0.0, 0.25, 0.5, 0.95, 1.0)}
+    assert {r.share: r.value for r in nearest_rank(rows, "x", list(want)).collect()} == want
+    assert [(r.share, r.value) for r in nearest_rank(rows.limit(0), "x", [0.5]).collect()] == [(0.5, None)]
+
+
+def test_facets_in_the_order_of_an_answer(titles):
+    rows = Searcher(titles, Fields(lang=Field("facet"))).facets(Request("amber", facets=["lang"], typing=False)).collect()
+    assert [(-r.n, r.value) for r in rows] == sorted((-r.n, r.value) for r in rows)
+
+
+def test_manifest_holds_the_declaration(spark, tmp_path):
+    file = tmp_path / "r.jsonl"
+    file.write_text(json.dumps(GOOD[0]))
+    config = load(RECORDS | {"synonyms": [["gold", "aurum"]]})
+    compile_site(spark, str(file), config, str(tmp_path / "ix"))
+    held = open_index(spark, str(tmp_path / "ix")).declared
+    assert held["fields"]["year"] == {"role": "facet", "type": "integer", "required": False} and held["synonyms"] == [["gold", "aurum"]] and held["fingerprint"] == config.fingerprint
