@@ -142,10 +142,11 @@ class ByteBpe:
 
         short = distinct.where(F.octet_length("word") <= LONG).select("word", self.fold(_bytes(F.col("word"))).alias("pieces"))
         encoded = written(short.unionByName(distinct.where(F.octet_length("word") > LONG).mapInArrow(long, "word string, pieces array<int>")), "encoded")
-        # a word of many texts is a row of encoded and many of places: a hot key, which adaptive execution splits as it reads
-        own = places.join(encoded, "word").groupBy("__row").agg(F.collect_list(F.struct("at", "pieces")).alias("own"))  # one text's words
-        known = F.filter(F.transform("ids", lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("at"), F.array(x).alias("pieces")))), lambda x: x.isNotNull())
-        whole = F.flatten(F.transform(F.array_sort(F.concat(known, "own")), lambda x: x["pieces"]))
+        # ids travel as digits, which take less room than arrays; a word of many texts is a hot key, which adaptive execution splits as it reads
+        packed = encoded.select("word", F.array_join(F.col("pieces").cast("array<string>"), ",").alias("pieces"))
+        own = places.join(packed, "word").groupBy("__row").agg(F.collect_list(F.struct("at", "pieces")).alias("own"))  # one text's words
+        known = F.filter(F.transform("ids", lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("at"), x.cast("string").alias("pieces")))), lambda x: x.isNotNull())
+        whole = F.split(F.array_join(F.transform(F.array_sort(F.concat(known, "own")), lambda x: x["pieces"]), ","), ",").cast("array<int>")
         filled = held.select("__row", "__key", "ids").join(own, "__row", "left").select(F.col("__key").alias(key), F.when(F.col("own").isNull(), F.col("ids")).otherwise(whole).alias("ids"))
         empty = texts.where(F.coalesce(F.length("__text"), F.lit(0)) == 0).select(F.col("__key").alias(key), none.alias("ids"))
         return filled.unionByName(empty)
