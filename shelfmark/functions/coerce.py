@@ -53,7 +53,7 @@ def array_of(value: Column) -> Column:
 
 
 def canonical_json(value: Column) -> Column:
-    """JSON text without needless space, keys in their order; null for what is no JSON."""
+    """JSON text without needless space, keys in their order; null for what is no JSON. What stands so already passes by Python."""
 
     def one(text):
         try:
@@ -65,4 +65,6 @@ def canonical_json(value: Column) -> Column:
     def compact(values: pd.Series) -> pd.Series:
         return values.map(one)
 
-    return compact(value)
+    # no space, no escape, no number that is written in another way, no repeated key
+    plain = F.coalesce(value.rlike(r"^[^\s\\]*$") & ~value.rlike(r"\d[.eE]|-0") & F.try_parse_json(value).isNotNull(), F.lit(False))
+    return F.when(plain, value).otherwise(compact(F.when(~plain, value)))

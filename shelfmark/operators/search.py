@@ -178,7 +178,7 @@ class Searcher:
         if ready and 0 < request.limit <= FETCHED:
             found = page.collect()  # at most FETCHED narrow rows
             page = docs.sparkSession.createDataFrame(found, page.schema)
-            docs = docs.where(F.col("id").isin([r.id for r in found]) if found else F.lit(False))
+            docs = docs.where(_one_of("id", [r.id for r in found]))
         return docs.join(page.select("id", "band", "proximity", "score", "place"), "id").orderBy("place")
 
     def answer(self, request: Request) -> dict[str, DataFrame]:
@@ -257,6 +257,14 @@ class Searcher:
         return list(dict.fromkeys(forms))
 
 
+def _one_of(name: str, values: list):
+    """Whether a column is one of some values, as single comparisons: a scan gets these one by one, but of a longer list only its least and greatest value."""
+    tests = [F.col(name) == v for v in values] or [F.lit(False)]
+    while len(tests) > 1:  # pairs of pairs, so that no side is deep
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + (tests[-1:] if len(tests) % 2 else [])
+    return tests[0]
+
+
 def _in_column(name: str, column: int):
     return F.exists(F.col(name), lambda p: F.floor(p / COLUMN) == column)
 
