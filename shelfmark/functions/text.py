@@ -6,7 +6,8 @@ import re
 import unicodedata as ud
 from functools import lru_cache
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +46,26 @@ def _normal(value):
     """A text, or the texts of a list or map, in composed form."""
     if isinstance(value, str):
         return ud.normalize("NFC", value)
-    return type(value)(map(_normal, value)) if isinstance(value, (list, tuple)) else value
+    if isinstance(value, dict):
+        return {_normal(k): _normal(v) for k, v in value.items()}
+    return list(map(_normal, value)) if isinstance(value, (list, np.ndarray)) else value
 
 
 def composed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with the texts of some columns, also those in arrays and maps, in composed form. Only rows that hold a composing character pass through Python."""
-    odd, kinds = F.lit(False), dict(df.dtypes)
-    for c in columns:
+    """``df`` with the texts of some columns, also those in arrays and maps, in composed form. Python gets only the values that hold a composing character."""
+    kinds = dict(df.dtypes)
+
+    def form(c: str) -> Column:
+        @F.pandas_udf(kinds[c])
+        def compose(values: pd.Series) -> pd.Series:
+            return values.map(_normal, na_action="ignore")
+
         fits = lambda x: F.coalesce(x.rlike(COMPOSING), F.lit(False))
         each = F.map_values(c) if kinds[c].startswith("map") else F.col(c)
-        odd = odd | F.coalesce(fits(F.col(c)) if kinds[c] == "string" else F.exists(each, fits), F.lit(False))
-
-    def compose(batches):
-        for batch in batches:
-            for c in columns:
-                at = batch.schema.get_field_index(c)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(map(_normal, batch.column(at).to_pylist()), batch.schema.field(at).type))
-            yield batch
+        odd = fits(F.col(c)) if kinds[c] == "string" else F.coalesce(F.exists(each, fits), F.lit(False))
+        return F.when(odd, compose(F.when(odd, F.col(c)))).otherwise(F.col(c))
 
-    return df.where(~odd).unionByName(df.where(odd).mapInArrow(compose, df.schema))
+    return df.withColumns({c: form(c) for c in columns})
 
 
 _FOLDS = {ord(a): b for a, b in zip(*fold_map())}

@@ -114,8 +114,8 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
     is kept in the manifest.
     """
     names = list(columns)
-    docs = composed(docs, names)
     if path is None:
+        docs = composed(docs, names)
         postings = postings_of(docs, names)
         if not positions:
             postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))
@@ -128,7 +128,8 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
 
     at = f"{path.rstrip('/')}.building-{uuid.uuid4().hex[:8]}"
     ranges = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    docs.repartitionByRange(ranges, "id").sortWithinPartitions("id").write.parquet(f"{at}/documents")
+    # composed where they have been spread: the pass that finds the ranges need not do it
+    composed(docs.repartitionByRange(ranges, "id").sortWithinPartitions("id"), names).write.parquet(f"{at}/documents")
     docs = spark.read.parquet(f"{at}/documents")
     phase("documents")
     words_of(docs, names).write.option("compression", "zstd").parquet(f"{at}/words")
@@ -160,7 +161,10 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
 
 def write_manifest(spark: SparkSession, path: str, columns: dict[str, float], positions: bool = True, variants: bool = False, size: tuple[int, int] | None = None, declared: dict | None = None) -> None:
     text = json.dumps({"version": VERSION, "columns": list(columns.items()), "positions": positions, "variants": variants, "size": size, "declared": declared}, sort_keys=True)
-    spark.createDataFrame([(text,)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    place, files = _place(spark, f"{path}/manifest/manifest.json")
+    out = files.create(place, True)
+    out.write(bytearray(text + "\n", "utf-8"))
+    out.close()
 
 
 def _place(spark: SparkSession, path: str):

@@ -176,10 +176,11 @@ class Searcher:
         """
         page, docs = self.page(request), self.index.documents
         if ready and 0 < request.limit <= FETCHED:
-            found = page.collect()  # at most FETCHED narrow rows
-            page = docs.sparkSession.createDataFrame(found, page.schema)
-            docs = docs.where(_one_of("id", [r.id for r in found]))
-        return docs.join(page.select("id", "band", "proximity", "score", "place"), "id").orderBy("place")
+            found = page.toArrow()  # at most FETCHED narrow rows
+            page = F.broadcast(docs.sparkSession.createDataFrame(found, page.schema))
+            docs = docs.where(_one_of("id", found["id"].to_pylist()))
+        # the limit lets the rows be ordered as they come in, without a look at them beforehand
+        return docs.join(page.select("id", "band", "proximity", "score", "place"), "id").orderBy("place").limit(max(0, request.limit))
 
     def answer(self, request: Request) -> dict[str, DataFrame]:
         """Total, facets and hits of one request over one stored evaluation of its matches.
