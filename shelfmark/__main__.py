@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
             if args.command == "suggest":
                 print(json.dumps([r.asDict() for r in suggest(searcher, args.text, args.kind).collect()], ensure_ascii=False))
             else:
-                request = Request(args.query, limit=args.limit, offset=args.offset, facets=args.facet)
+                request = Request(args.query, limit=args.limit, offset=args.offset, facets=args.facet, columns=list(config.result_fields) or None)
                 hits = [r.asDict() for r in searcher.hits(request).collect()]
                 counts = [r.asDict() for r in searcher.facets(request).collect()] if args.facet else []
                 print(json.dumps({"total": searcher.total(request).first().total, "hits": hits, "facets": counts}, ensure_ascii=False, default=str))

@@ -17,7 +17,7 @@ from shelfmark.sources.html import Source
 NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 RESERVED = {"title", "body", "rowid", "rank"}
 TYPES = {"facets": {"string", "string_array", "integer", "number", "boolean", "date"}, "store": {"string", "integer", "number", "boolean", "date", "json"}, "sort": {"string", "integer", "number", "date"}}
-KEYS = {"base_url", "input", "include", "exclude", "selectors", "search_fields", "weights", "facets", "store_fields", "sort_fields", "boosts", "synonyms", "suppressions", "composite_indices", "positions", "result_fields", "variant_generation"}
+KEYS = {"base_url", "input", "include", "exclude", "selectors", "search_fields", "weights", "facets", "store_fields", "sort_fields", "boosts", "synonyms", "suppressions", "composite_indices", "positions", "result_fields", "variant_generation", "allow_output_in_source"}
 WEIGHTS = {"title": 10.0, "body": 1.0}
 SELECTORS = {"title": "title, h1", "description": "meta[name='description']@content", "body": "body"}
 
@@ -45,6 +45,8 @@ class Config:
     composite: list[list[str]] = field(default_factory=list)
     positions: bool = True
     variant_generation: bool = True
+    result_fields: tuple[str, ...] = ()
+    output_in_source: bool = False
 
     def described(self) -> dict:
         """What a reader of the index must know: types and roles of fields, boosts, synonyms, and the declaration's fingerprint."""
@@ -135,4 +137,4 @@ def load(raw: dict, as_of: str = "2025-01-01") -> Config:
     synonyms, suppressions = list(raw.get("synonyms", [])), list(raw.get("suppressions", []))
     declared_groups(synonyms, "synonym")
     declared_groups(suppressions, "suppression")
-    return Config(raw.get("base_url", "/"), kind, tuple(raw.get("include", ("**/*.html",))), tuple(raw.get("exclude", ())), selectors, columns, column_sources, tuple(extra), fields, sources, frozenset(required), tuple(boosts), synonyms, suppressions, composite, bool(raw.get("positions", True)), bool(raw.get("variant_generation", True)))
+    return Config(raw.get("base_url", "/"), kind, tuple(raw.get("include", ("**/*.html",))), tuple(raw.get("exclude", ())), selectors, columns, column_sources, tuple(extra), fields, sources, frozenset(required), tuple(boosts), synonyms, suppressions, composite, bool(raw.get("positions", True)), bool(raw.get("variant_generation", True)), tuple(raw.get("result_fields", ())), bool(raw.get("allow_output_in_source", False)))

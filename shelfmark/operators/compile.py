@@ -75,6 +75,9 @@ def compile_site(spark: SparkSession, root: str, config: Config, path: str, metr
     in the table ``warnings`` of the index. ``metrics`` receives what ``build``
     measures and the warnings.
     """
+    inside = lambda x: x.removeprefix("file:").rstrip("/") + "/"
+    if config.input == "html" and inside(path).startswith(inside(root)) and not config.output_in_source:
+        raise BuildError("CONFIG_INVALID", f"the index {path} would lie among its pages; set allow_output_in_source if it shall")
     if config.input == "records":
         records = require_sound(checked_records(read_records(spark, root), _declared(config), config.fields, config.required), root)
         docs, problems = records_to_documents(records, config), None

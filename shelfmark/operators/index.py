@@ -155,7 +155,7 @@ def build(docs: DataFrame, columns: dict[str, float], path: str | None = None, p
     _replace(spark, at, path)
     phase("manifest")
     if metrics is not None:
-        metrics |= {"seconds": took, "documents": total.docs, "terms": total.terms, "documents_per_second": round(total.docs / max(1e-9, sum(took.values())), 1)}
+        metrics |= {"seconds": took, "documents": total.docs, "terms": total.terms, "documents_per_second": round(total.docs / max(1e-9, sum(took.values())), 1), "bytes": sizes_of(spark, path)}
     return open_index(spark, path)
 
 
@@ -236,6 +236,12 @@ def compact(spark: SparkSession, path: str, partitions: int | None = None) -> In
     return open_index(spark, path)
 
 
+def sizes_of(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of each table of an index, on any file system."""
+    place, files = _place(spark, path)
+    return {status.getPath().getName(): files.getContentSummary(status.getPath()).getLength() for status in files.listStatus(place)}
+
+
 def size_of(path: str) -> int:
     """Bytes of the files under a local path."""
     return sum(p.stat().st_size for p in Path(path).rglob("*") if p.is_file())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfmark.errors import QueryError
 from shelfmark.operators.boosts import product
 from shelfmark.operators.facets import facet_counts
 from shelfmark.operators.filters import Fields, conditions, together
@@ -32,6 +33,7 @@ class Request:
     offset: int = 0
     fuzzy: bool = False
     typing: bool = True
+    columns: list[str] | None = None  # stored columns of a page; all of them if none are named
 
 
 @dataclass
@@ -175,6 +177,10 @@ class Searcher:
         those that are not to be found yet (``ready`` false), are joined.
         """
         page, docs = self.page(request), self.index.documents
+        if request.columns is not None:
+            if unknown := [c for c in request.columns if c not in docs.columns]:
+                raise QueryError("QUERY_INVALID", f'Unknown result column "{unknown[0]}".')
+            docs = docs.select("id", *[c for c in request.columns if c != "id"])
         if ready and 0 < request.limit <= FETCHED:
             found = page.toArrow()  # at most FETCHED narrow rows
             page = F.broadcast(docs.sparkSession.createDataFrame(found, page.schema))

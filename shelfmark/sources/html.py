@@ -7,8 +7,9 @@ import unicodedata as ud
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from fnmatch import translate
-from functools import lru_cache
+from functools import lru_cache, reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -335,20 +336,35 @@ def glob_pattern(glob: str) -> str:
     return translate(glob).replace(r"(?s:", "(?s:", 1) if "**/" not in glob else "|".join(translate(g) for g in (glob, glob.replace("**/", "")))
 
 
+def _chosen(rel: Column, include: list[str], exclude: list[str]) -> tuple[Column, Column]:
+    """Whether a path is included, and whether it is excluded."""
+    java = lambda g: glob_pattern(g).replace("\\Z", "$").replace("(?s:", "(?:").replace("\\z", "$")
+    some = lambda globs: reduce(or_, [rel.rlike("^(?:" + java(g) + ")") for g in globs], F.lit(False))
+    return some(include), some(exclude)
+
+
+def _relative(root: str) -> Column:
+    return F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(root.rstrip("/")) + "/", "")
+
+
+def skipped(spark: SparkSession, root: str, include: list[str] = ("**/*.html",), exclude: list[str] = ()) -> DataFrame:
+    """(path, reason) of the files under a directory that ``discovered`` leaves out; no file is read."""
+    rel = _relative(root)
+    included, excluded = _chosen(rel, list(include), list(exclude))
+    reason = F.when(~included, "not included").when(excluded, "excluded")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    return files.select(rel.alias("path"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def discovered(spark: SparkSession, root: str, base: str, include: list[str] = ("**/*.html",), exclude: list[str] = ()) -> DataFrame:
     """(path, url, html) of the pages under a directory; two pages of one address are an error."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if all(g.endswith((".html", ".htm")) for g in include):
         reader = reader.option("pathGlobFilter", "*.htm*")
     files = reader.load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(root.rstrip("/")) + "/", "")
-    java = lambda g: glob_pattern(g).replace("\\Z", "$").replace("(?s:", "(?:").replace("\\z", "$")
-    keep = F.lit(False)
-    for g in include:
-        keep = keep | rel.rlike("^(?:" + java(g) + ")")
-    for g in exclude:
-        keep = keep & ~rel.rlike("^(?:" + java(g) + ")")
-    pages = files.where(keep).select(rel.alias("path"), canonical_url(base, rel).alias("url"), F.decode("content", "UTF-8").alias("html"))
+    rel = _relative(root)
+    included, excluded = _chosen(rel, list(include), list(exclude))
+    pages = files.where(included & ~excluded).select(rel.alias("path"), canonical_url(base, rel).alias("url"), F.decode("content", "UTF-8").alias("html"))
     if twice := pages.groupBy("url").count().where("count > 1").limit(1).collect():
         raise BuildError("DISCOVERY_DUPLICATE_URL", f"several pages have the address {twice[0].url}")
     return pages

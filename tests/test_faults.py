@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.config import load
-from shelfmark.errors import BuildError
+from shelfmark.errors import BuildError, QueryError
 from shelfmark.functions.coerce import canonical_json, coerce
 from shelfmark.functions.text import composed
 from shelfmark.functions.timestamps import normalize_timestamps
@@ -288,3 +288,28 @@ def test_json_in_one_form(spark):
 
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", canonical_json(F.col("t")).alias("x")).collect()
     assert {r.i: r.x for r in rows} == {i: one(t) for i, t in enumerate(texts)}
+
+
+def test_pages_of_asked_columns(titles):
+    searcher = Searcher(titles, Fields())
+    page = searcher.hits(Request("amber", limit=3, typing=False, columns=["title"]))
+    assert page.columns == ["id", "title", "band", "proximity", "score", "place"] and page.count() == 3
+    assert "body:string" not in page._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(QueryError):
+        searcher.hits(Request(columns=["none"]))
+
+
+def test_an_index_among_its_pages_and_files_left_out(spark, tmp_path):
+    from shelfmark.sources.html import discovered, skipped
+
+    for name in ("a.html", "b/c.html", "b/d.txt", "old/e.html"):
+        (tmp_path / "site" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "site" / name).write_text("<title>x</title><body>gold")
+    root = str(tmp_path / "site")
+    assert {(r.path, r.reason) for r in skipped(spark, root, ["**/*.html"], ["old/**"]).collect()} == {("b/d.txt", "not included"), ("old/e.html", "excluded")}
+    assert {r.path for r in discovered(spark, root, "/", ["**/*.html"], ["old/**"]).collect()} == {"a.html", "b/c.html"}
+    with pytest.raises(BuildError, match="among its pages"):
+        compile_site(spark, root, load({}), root + "/ix")
+    metrics: dict = {}
+    compile_site(spark, root, load({"allow_output_in_source": True, "result_fields": ["title"]}), root + "/ix", metrics)
+    assert metrics["bytes"]["postings"] > 0 and {"documents", "lengths", "vocabulary", "manifest"} <= set(metrics["bytes"])
