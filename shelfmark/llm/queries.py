@@ -39,7 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+def _terms(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_BOTH = "coalesce(title, '') || chr(10) || coalesce(body, '')"
+
+
+def _runs(table: str, key: str, text: str, size: int) -> str:
+    """(key, run): the distinct runs of so many terms of each row."""
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + {size - 1}], ' ') AS run FROM (SELECT {key}, w, unnest(range(1, len(w) - {size} + 2)) AS i FROM (SELECT {key}, {_terms(text)} AS w FROM {table}))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({_terms(_BOTH)}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM c GROUP BY term)
+SELECT doc_id, term FROM c JOIN d USING (term) WHERE tf >= 3 AND df <= 5 AND regexp_full_match(term, '\\p{{L}}{{5,}}')""")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return distinctive_terms(docs, "doc_id", ["title", "body"], min_tf=3, max_df=5, pattern=r"^\p{L}{5,}$").select("doc_id", "term")
@@ -51,7 +64,11 @@ def _dates(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "page_id").join(stamps, "page_id").select("doc_id", F.timestamp_micros("published_us").cast("date").alias("published_on"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, source, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS line_no FROM documents WHERE body IS NOT NULL AND source IS NOT NULL),
+f AS (SELECT doc_id, source, line_no, regexp_replace(lower(trim(regexp_replace(line, '[\s\p{Z}\x0b\x1c-\x1f\x85]+', ' ', 'g'))), '\p{Nd}+', '0', 'g') AS form FROM l),
+g AS (SELECT * FROM f WHERE length(regexp_replace(form, '\P{L}', '', 'g')) >= 3), k AS (SELECT source, form, count(DISTINCT doc_id) AS n FROM g GROUP BY ALL),
+s AS (SELECT source, count(*) AS size FROM documents WHERE body IS NOT NULL AND source IS NOT NULL GROUP BY source)
+SELECT doc_id, line_no::BIGINT AS line_no FROM g JOIN k USING (source, form) JOIN s USING (source) WHERE n >= 5 AND n >= 0.02 * size""")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By documents alone, as the case is defined: copies count each, and dates do not count."""
     return excessive_lines(table(spark, sf_dir, "documents"), "doc_id", "source", "body")
@@ -69,7 +86,12 @@ def _offered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("size(forms) > 0").groupBy("query_id").agg(F.min("forms").alias("forms"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT term, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest({_terms("body")}) AS term FROM documents) GROUP BY term),
+o AS (SELECT DISTINCT query_id, lower(form) AS term FROM (SELECT query_id, unnest(flatten(map_values(corrections))) AS form FROM query_vectors WHERE corrections IS NOT NULL) WHERE form IS NOT NULL),
+c AS (SELECT term, count(*) AS n FROM o GROUP BY term),
+m AS (SELECT 'body' AS field, term, CASE WHEN n = 1 THEN 'rare' WHEN n > 0.3 * (SELECT count(*) FROM documents WHERE body IS NOT NULL) THEN 'common' END AS mark FROM b
+ UNION ALL SELECT 'corrections', term, CASE WHEN n = 1 THEN 'rare' WHEN n > 0.01 * (SELECT count(DISTINCT query_id) FROM o) THEN 'common' END FROM c)
+SELECT field, term, mark FROM m WHERE mark IS NOT NULL""")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = table(spark, sf_dir, "documents").select("body").where("body IS NOT NULL")
     offered = _offered(spark, sf_dir)
@@ -83,7 +105,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture(table(spark, sf_dir, "documents"), "doc_id", "source", "title", "body")
 
 
-@query()
+@query(f"""WITH r AS MATERIALIZED ({_runs("documents", "doc_id", _BOTH, 3)}), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM r a JOIN r b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT x AS doc_id_a, y AS doc_id_b FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared >= 0.6 * (a.n + b.n - shared)""")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"], width=3, threshold=0.6)
 
@@ -93,7 +117,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-@query()
+@query(f"WITH d AS ({_runs('documents', 'doc_id', 'text', 10)}), i AS ({_runs('eval_items', 'item_id', 'text', 10)}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text", run=10)
     return found.where("run >= 10").select("doc_id", "item_id")
@@ -108,9 +132,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- whole results beside the cases ----------------------------------------------
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, unnest({_terms(_BOTH)}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df, sum(tf) AS n_t FROM c GROUP BY term),
+r AS (SELECT doc_id, sum(tf) AS n_d FROM c GROUP BY doc_id), z AS (SELECT sum(pow(n_d, 0.75)) AS z FROM r)
+SELECT doc_id, term, tf::BIGINT AS tf, df::BIGINT AS df, round(greatest(0.0, ln(tf * z / (n_t * pow(n_d, 0.75)))), 6) AS ppmi FROM c JOIN d USING (term) JOIN r USING (doc_id), z""")
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive_terms(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"])
+    return distinctive_terms(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"]).withColumn("ppmi", F.round("ppmi", 6))
 
 
 @query()
@@ -131,7 +157,11 @@ def p6_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_content(table(spark, sf_dir, "documents"), "doc_id", "source", "title", "body")
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS MATERIALIZED ({_runs("documents", "doc_id", _BOTH, 5)}), n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM r a JOIN r b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL),
+s AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared >= 0.8 * (a.n + b.n - shared)), e AS (SELECT x, y FROM s UNION SELECT y, x FROM s),
+w(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT w.a, e.y FROM w JOIN e ON w.b = e.x)
+SELECT a AS doc_id, min(b) AS "group" FROM w GROUP BY a""")
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), "doc_id", ["title", "body"])
 
