@@ -667,6 +667,13 @@ def synthetic_pages(spark, sf_dir):
     return synthetic_corpus(spark, 1000)
 
 
+@query("SELECT i AS cohort, 20::BIGINT AS n FROM range(50) t(i)")
+def synthetic_cohorts(spark, sf_dir):
+    """How many documents of the synthetic corpus hold the word of each cohort."""
+    cohort = F.regexp_extract("body", r"cohort(\d+)", 1).cast("long")
+    return synthetic_corpus(spark, 1000).groupBy(cohort.alias("cohort")).agg(F.count("*").alias("n"))
+
+
 # --- a second corpus: orders ----------------------------------------------------
 
 
