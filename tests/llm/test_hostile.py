@@ -80,6 +80,43 @@ def test_many_versions_of_one_page_give_links_and_not_pairs(spark):
     assert _met(one_band)[0].count() < 3 * 3_000
 
 
+def test_pairs_at_the_threshold_that_bands_of_a_template_pass_over(spark):
+    # 60 runs in common and 20 own ones: exactly 60 %; documents of other pairs have the 56 of the template in common
+    template, rows = [f"w{i}" for i in range(58)], []
+    for k in range(400):
+        both = template + [f"p{k}x{i}" for i in range(4)]
+        rows += [(2 * k + s, " ".join(both + [f"o{k}x{s}x{i}" for i in range(20)]), None) for s in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string")
+    got = [tuple(r) for r in similar_pairs(docs, "doc_id", ["title", "body"], 3, 0.6).collect()]
+    assert sorted(got) == [(2 * k, 2 * k + 1) for k in range(400)]
+    assert {r.doc_id: r.group for r in similar_groups(docs, "doc_id", ["title", "body"], 3, 0.6).collect()} == {i: i // 2 * 2 for i in range(800)}
+
+
+def test_all_pairs_of_more_than_a_thousand_versions_and_copies(spark):
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, f"{base} v{i} x{i}", None) for i in range(1_100)] + [(5_000 + i, "four words of copies", None) for i in range(1_050)] + [(9_000, "four words of copies here", None), (9_001, "own words alone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string")
+    got = similar_pairs(docs, "doc_id", ["title", "body"], 3, 0.6, marked=True).toPandas()
+    assert got["whole"].all() and not got.duplicated().any() and (got["doc_id_a"] < got["doc_id_b"]).all()
+    assert (got["doc_id_b"] < 5_000).sum() == 1_100 * 1_099 // 2 and (got["doc_id_a"] >= 5_000).sum() == 1_051 * 1_050 // 2 and len(got) == (1_100 * 1_099 + 1_051 * 1_050) // 2
+
+
+def test_pairs_of_short_and_uneven_texts_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    texts = [rng.choices(words, k=rng.randint(1, 9)) for _ in range(300)]
+    for t in texts[:100] + [[f"l{i}" for i in range(n)] for n in (90, 200)]:
+        for k in (1, 2, len(t) // 6, len(t) // 5, len(t) // 4):
+            texts.append(t[: len(t) - k] or t)
+            texts.append(t + [f"e{len(texts)}x{i}" for i in range(k)])
+    docs = spark.createDataFrame([(f"k{i}", " ".join(t), None) for i, t in enumerate(texts)], "doc_id string, title string, body string")
+    for width, threshold in ((1, 0.5), (2, 0.6), (3, 0.8), (1, 1.0)):
+        sets = {f"k{i}": set(zip(*[t[j:] for j in range(width)])) for i, t in enumerate(texts) if len(t) >= width}
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
+        got = [tuple(r) for r in similar_pairs(docs, "doc_id", ["title", "body"], width, threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def pages_with_notices(n, rng):
     """Pages whose notices stand inside lines of own text and over line breaks, at other places on each."""
     notice = "this museum uses small files to count visits and to keep the shop basket alive for a day"
