@@ -207,6 +207,31 @@ def test_batch_of_queries_as_single_queries(spark, titles):
     assert set(pages) <= {1, 2, 6}
 
 
+def test_batch_shuffles_no_pairs_of_queries_and_documents(spark, tmp_path):
+    from shelfmark.operators import batch
+
+    docs = spark.createDataFrame([(i, f"t{i}", f"hall w{i % 7} " + "oak " * (i % 3)) for i in range(600)], "id long, title string, body string")
+    index = build(docs, {"title": 10.0, "body": 1.0}, str(tmp_path / "ix"))
+    asked = [(i, ("hall", f"hall w{i % 7}", "oak hall", f"w{i % 7} oak hall", "hall")[i % 5]) for i in range(200)]
+    queries = spark.createDataFrame(asked, "query_id long, q string")
+    store, none = spark._jsc.sc().statusStore(), spark._sc._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda x: [x.apply(k) for k in range(x.size())])(store.stageList(None, False, False, none, None))}
+    before = stages()
+    size, batch.POSTINGS = batch.POSTINGS, 500  # several blocks of documents
+    try:
+        got = batch.ranked_pages(index, queries, "query_id", "q", limit=5).collect()
+    finally:
+        batch.POSTINGS = size
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert max(n for k, n in stages().items() if k not in before) <= 2_600  # postings of the asked words are 2,200 and ids, pairs 70,000
+    pages = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.place)):
+        pages.setdefault(r.query_id, []).append((r.id, pytest.approx(r.score)))
+    searcher = Searcher(index, Fields())
+    best = {text: sorted((round(r.score, 9), r.id) for r in searcher.matches(searcher.plan(text, typing=False)).collect())[:5] for text in {q for _, q in asked}}
+    assert pages == {key: [(i, s) for s, i in best[text]] for key, text in asked}
+
+
 def test_facets_without_a_value_are_named(spark, titles):
     from shelfmark.operators.facets import facet_counts
 
