@@ -213,3 +213,18 @@ def test_numbers_of_lines_alike_in_all_ways_of_counting(spark):
     dates = spark.createDataFrame([(i, "2020-01-01") for i in range(8)], "doc_id long, d string").select("doc_id", F.col("d").cast("date").alias("published_on"))
     rows = [sorted((r.n_docs, r.n_clusters, r.n_dates) for r in repeated_lines(docs, "doc_id", "source", "body", dates=d).collect()) for d in (None, dates)]
     assert rows == [[(8, 8, 1)], [(8, 8, 1)]]
+
+
+def test_runs_that_many_documents_share_shuffle_no_pairs(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(60)) for _ in range(600)]
+    texts += [f"{t[:-1]}{c} h" for t, c in zip(texts[:20], "gh" * 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    store, none = spark._jsc.sc().statusStore(), spark._sc._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (lambda x: [x.apply(k) for k in range(x.size())])(store.stageList(None, False, False, none, None))}
+    before = stages()
+    got = {(r.id_a, r.id_b) for r in similar_pairs(docs, "id", ["body"], width=3, threshold=0.6).collect()}
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert max(n for k, n in stages().items() if k not in before) <= 65 * len(texts)  # bands; pairs of documents that share a run are over 100,000
+    sets = [set(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
+    assert got == {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])} and len(got) >= 20
